@@ -135,3 +135,56 @@ def turn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_from_table(
         turns, F.lit("conversations"), F.col("conv_id").cast("string"), F.col("turn") + 1, "text", F.lit("python")
     )
+
+
+# A project tree templated from ``orders``: one file per order, forty projects. The text is plain SQL for
+# both engines.
+TREE_SQL = """
+SELECT concat('app', CAST(o_custkey % 40 AS VARCHAR(9))) AS project_id,
+  concat(dir, CASE WHEN dir = '' THEN '' ELSE concat('d', CAST(k AS VARCHAR(20)), '/') END, name) AS path,
+  name AS file_name, CAST(o_totalprice * 10 AS BIGINT) AS size, o_orderdate AS modified,
+  CASE name
+    WHEN 'main.py' THEN concat('import os', chr(10), 'def run(x):', chr(10), '    print(x)', chr(10), 'from flask import Flask')
+    WHEN 'App.java' THEN concat('package a.b;', chr(10), 'import java.util;', chr(10), 'public class App { @Test() }', chr(10), 'import org.junit.Test;')
+    WHEN 'index.js' THEN concat('const a = require("express")', chr(10), 'function go() { console.log(a) }', chr(10), 'module.exports = go', chr(10), 'document.getElementById("a")')
+    WHEN 'view.tsx' THEN concat('export class V {}', chr(10), 'import React from "react"', chr(10), 'let x: number = 1')
+    WHEN 'Program.cs' THEN concat('using System;', chr(10), 'namespace A.B', chr(10), 'public class P', chr(10), 'ILogger<P> log;')
+    WHEN 'notes' THEN CASE k % 4 WHEN 0 THEN concat('import os', chr(10), 'def f(x): print(x)') WHEN 1 THEN concat('interface A {', chr(10), 'type B = string') WHEN 2 THEN concat('crontab -e', chr(10), '<div><span>') ELSE 'nothing here' END
+    WHEN 'package.json' THEN '{"dependencies": {"jquery": "1", "winston": "2"}}'
+    WHEN 'requirements.txt' THEN concat('flask', chr(10), 'import pytest', chr(10), 'prometheus_client')
+    WHEN 'pom.xml' THEN '<a>junit org.slf4j</a>'
+    ELSE concat('text ', name) END AS content
+FROM (
+  SELECT o_orderkey AS k, o_custkey, o_totalprice, o_orderdate,
+    CASE CAST(o_orderkey % 13 AS INT) WHEN 0 THEN '' WHEN 1 THEN 'src/' WHEN 2 THEN 'node_modules/x/' WHEN 3 THEN 'build/'
+      WHEN 4 THEN 'docs/' WHEN 5 THEN 'lib/env/' WHEN 6 THEN '.git/' WHEN 7 THEN 'tests/' ELSE 'src/main/' END AS dir,
+    CASE CAST(CAST(floor(o_orderkey / 13) AS BIGINT) % 17 AS INT) WHEN 0 THEN 'pom.xml' WHEN 1 THEN 'package.json' WHEN 2 THEN 'requirements.txt'
+      WHEN 3 THEN 'main.py' WHEN 4 THEN 'App.java' WHEN 5 THEN 'index.js' WHEN 6 THEN 'view.tsx' WHEN 7 THEN 'Program.cs'
+      WHEN 8 THEN 'Mod.vb' WHEN 9 THEN 'README.md' WHEN 10 THEN 'run.test' WHEN 11 THEN 'notes' WHEN 12 THEN 'tool.csproj'
+      WHEN 13 THEN 'style.css' WHEN 14 THEN '.bashrc' WHEN 15 THEN 'archive.TAR.gz' ELSE 'Dockerfile' END AS name
+  FROM orders) o
+"""
+
+# Answers of a scoring model, templated from ``events``.
+ANSWER_SQL = """
+SELECT event_id, CASE
+  WHEN event_type = 'view' THEN concat('Sure: {"quality_score": ', CAST(CAST(value * 100 AS BIGINT) AS VARCHAR(20)), ', "recommendations": ["use ', event_type, '", "log more"]} done')
+  WHEN event_type = 'click' THEN concat('Quality Score: ', CAST(CAST(value AS BIGINT) AS VARCHAR(20)), '.5', chr(10), 'Recommendations:', chr(10), '- first of ', event_type, chr(10), '- second', chr(10), chr(10), 'The end')
+  WHEN event_type = 'signup' THEN concat('1. Add structured logging to every service', chr(10), '* short', chr(10), '- Add correlation identifiers to all requests')
+  WHEN event_type = 'error' THEN '{broken'
+  ELSE concat('{"patterns_found": [], "n": ', CAST(event_id AS VARCHAR(20)), '}') END AS text
+FROM events
+"""
+
+
+def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from portcullis.sources.files import known_language
+
+    text = TREE_SQL.replace("{", "{{").replace("}", "}}").replace("FROM orders", "FROM {src}")
+    files = spark.sql(text, src=table(spark, sf_dir, "orders")).drop("file_name")
+    return with_file_columns(files).withColumn("language", known_language())
+
+
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = ANSWER_SQL.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {src}")
+    return spark.sql(text, src=table(spark, sf_dir, "events"))

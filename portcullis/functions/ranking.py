@@ -38,3 +38,18 @@ def top_per(df: DataFrame, keys, order, k, name="rank"):
     """The first ``k`` rows per key; Spark keeps at most ``k`` rows per key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
+
+
+def with_previous(df: DataFrame, keys, time, tie, value, block_seconds, name="previous"):
+    """The value of the row before, per key in order of (time, tie), without a window over a whole key.
+
+    Rows are ordered inside blocks of time; the last value of each block is carried to the next block
+    that has rows of the key. Only one row per key and block is ordered per key.
+    """
+    blocked = df.withColumn("_block", F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / block_seconds))
+    last = blocked.groupBy(*keys, "_block").agg(F.max_by(F.struct(value), F.struct(time, tie)).alias("_last"))
+    by_key = Window.partitionBy(*keys).orderBy("_block")
+    carried = last.select(*keys, "_block", F.lag("_last").over(by_key).alias("_carried"))
+    inside = Window.partitionBy(*keys, "_block").orderBy(time, tie)
+    joined = blocked.join(carried, [*keys, "_block"]).withColumn("_before", F.lag(F.struct(value)).over(inside))
+    return joined.withColumn(name, F.coalesce("_before", "_carried")[value]).drop("_block", "_carried", "_before")

@@ -19,3 +19,11 @@ def fixed_table(spark: SparkSession, ddl, rows) -> DataFrame:
 
 def _typed(ddl):
     return ",".join(":".join(part.strip().split(None, 1)) for part in ddl.split(","))
+
+
+def computed_once(df: DataFrame, name, value) -> DataFrame:
+    """Adds a costly column so that filters and joins on it do not evaluate its expression again.
+
+    Filters are not pushed below a generator, while they would be copied into a plain projection.
+    """
+    return df.drop(name).select("*", F.explode_outer(F.array(value)).alias(name))

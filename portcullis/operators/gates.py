@@ -13,6 +13,7 @@ from ..functions.ranking import top_per
 from ..functions.tables import fixed_table
 from ..functions.text import bands, has_any, is_blank, lookup
 
+FLAGS = ["has_ui", "has_jobs"]
 FILE_KEYS = ["project_id", "path", "language"]
 GATE_KEYS = ["project_id", "gate", "language"]
 
@@ -27,8 +28,11 @@ def file_analyses(lines: DataFrame) -> DataFrame:
 
 def file_analyses_of_files(files: DataFrame) -> DataFrame:
     """The same for whole texts, without a shuffle."""
-    count = F.size(F.filter(F.split("content", "\n", -1), lambda x: ~is_blank(x)))
-    return files.select(*FILE_KEYS, count.cast("bigint").alias("lines_of_code"))
+    return files.select(*FILE_KEYS, lines_of_code("content").alias("lines_of_code"))
+
+
+def lines_of_code(text):
+    return F.size(F.filter(F.split(text, "\n", -1), lambda x: ~is_blank(x))).cast("bigint")
 
 
 def _named(spec):
@@ -47,6 +51,8 @@ def file_statistics(analyses: DataFrame, gates=None) -> DataFrame:
             aggs.append(_named(spec).alias(f"named_{gate}"))
         if "fallback" in spec:
             aggs.append(F.count_if(has_any(low, spec["fallback"][0].split())).alias(f"other_{gate}"))
+    # Flags of files, if the analyses hold them, become flags of the language.
+    aggs += [F.bool_or(flag).alias(flag) for flag in FLAGS if flag in analyses.columns]
     return analyses.groupBy("project_id", "language").agg(*aggs)
 
 
@@ -73,10 +79,11 @@ def expected_count(gate):
 
 
 def expected_counts(stats: DataFrame, gates=None) -> DataFrame:
-    """One row per project, language and gate."""
+    """One row per project, language and gate. Files, lines and flags of the language are repeated."""
     gates = gates or D.GATES
-    wide = stats.select("project_id", "language", *[expected_count(g).alias(g) for g in gates])
-    return wide.unpivot(["project_id", "language"], gates, "gate", "expected")
+    keys = ["project_id", "language", "files", "loc", *[f for f in FLAGS if f in stats.columns]]
+    wide = stats.select(*keys, *[expected_count(g).alias(g) for g in gates])
+    return wide.unpivot(keys, gates, "gate", "expected")
 
 
 # ---------------------------------------------------------------- found and quality
@@ -148,8 +155,9 @@ def quality_score(found="found", expected="expected", bonus="bonus", gate="gate"
 def gate_language_results(expected: DataFrame, found: DataFrame, gates=None) -> DataFrame:
     """Every gate for every language of a project, with or without hits."""
     joined = expected.join(found, GATE_KEYS, "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    more = [c for c in ["files", "loc", *FLAGS] if c in expected.columns]
     return joined.select(
-        *GATE_KEYS, "expected", "found", bonus_total(gates).cast("double").alias("bonus")
+        *GATE_KEYS, *more, "expected", "found", bonus_total(gates).cast("double").alias("bonus")
     ).withColumn("quality", quality_score())
 
 
@@ -157,7 +165,7 @@ def gate_result(lines: DataFrame, hits: DataFrame, gate, analyses=None) -> DataF
     """One gate for all projects."""
     stats = file_statistics(file_analyses(lines) if analyses is None else analyses, [gate])
     found = found_counts(hits.where(F.col("gate") == gate), [gate])
-    return gate_language_results(expected_counts(stats, [gate]), found, [gate])
+    return gate_language_results(expected_counts(stats, [gate]), found, [gate]).drop("files", "loc")
 
 
 # ---------------------------------------------------------------- facts about hits
@@ -294,7 +302,6 @@ def recommendations(results: DataFrame) -> DataFrame:
     """The advice texts of every project, gate and language, in order."""
     spark = results.sparkSession
     advice = advice_table(spark)
-    special = advice.where(F.col("advice_language") != "*")
     has_special = F.lit(False)
     for gate, bucket, language in sorted({(r[0], r[1], r[2]) for r in advice_rows() if r[2] != "*"}):
         has_special = has_special | (
@@ -303,7 +310,6 @@ def recommendations(results: DataFrame) -> DataFrame:
     asked = results.withColumn("bucket", advice_bucket()).withColumn(
         "advice_language", F.when(has_special, F.col("language")).otherwise("*")
     )
-    del special
     return asked.join(F.broadcast(advice), ["gate", "bucket", "advice_language"], "left").drop("advice_language")
 
 

@@ -3,10 +3,11 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..dims.languages import CLASSIFY_CHARS, CONTENT_PATTERNS, LANGUAGE_ORD, LANGUAGES, MANIFESTS, SCORE_CHARS
+from .filters import prune_dirs as prune  # noqa: F401
 from ..functions.patterns import PLAIN
 from ..functions.ranking import top_per
-from ..functions.tables import fixed_table
-from ..functions.text import lookup
+from ..functions.tables import computed_once, fixed_table
+from ..functions.text import col, lookup
 from ..sources.files import known_language, manifest_test
 
 DETECTED_FROM = 30.0
@@ -27,7 +28,7 @@ def file_language(files: DataFrame) -> DataFrame:
     )
     known = known_language()
     # ``when`` keeps the content tests away from files with a known suffix.
-    return files.withColumn("language", F.when(known.isNotNull(), known).otherwise(guess))
+    return computed_once(files, "language", F.when(known.isNotNull(), known).otherwise(guess))
 
 
 def content_hits(language="language", content="content"):
@@ -75,7 +76,7 @@ def config_presence(files: DataFrame) -> DataFrame:
 
 
 def confidence(file_count="file_count", content_matches="content_matches", has_config="has_config"):
-    files, content, config = F.col(file_count), F.col(content_matches), F.col(has_config)
+    files, content, config = F.col(file_count), F.col(content_matches), col(has_config)
     total = (
         F.least(files * 2, F.lit(40)) + F.least(content * 3, F.lit(40)) + F.when(config, F.lit(20)).otherwise(F.lit(0))
     )

@@ -19,7 +19,7 @@ from ..dims.languages import CONTEXT_LINES, HEADER_LOOK_BACK, HEADER_PATTERNS
 from ..dims.rules import check_rules, default_rules, literal_runs
 from ..functions.patterns import IGNORE_CASE, java
 from ..functions.ranking import with_halo
-from ..functions.tables import fixed_table
+from ..functions.tables import computed_once, fixed_table
 from ..functions.text import count_of, folded, folded_sql, has_any, lookup, sql_text, strip, strip_left
 
 LINE_KEYS = ["project_id", "path", "line_no"]
@@ -245,11 +245,8 @@ def header_name(line="line", language="language"):
 
 def header_lines(lines: DataFrame) -> DataFrame:
     """Lines that open a function or class. The first line of a file never counts."""
-    return (
-        lines.where(F.col("line_no") >= 2)
-        .withColumn("function_name", header_name())
-        .where(F.col("function_name").isNotNull())
-    )
+    named = computed_once(lines.where(F.col("line_no") >= 2), "function_name", header_name())
+    return named.where(F.col("function_name").isNotNull())
 
 
 def with_function(rows: DataFrame, lines: DataFrame) -> DataFrame:

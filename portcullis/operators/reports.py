@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..dims import gates as D
+from ..functions.ranking import with_previous
 from ..functions.text import bands, col, fixed1, lookup, title_words
 from .gates import gate_weight
 
@@ -306,14 +307,10 @@ def newest_first(reports: DataFrame, time="scan_ts", tie="project_id") -> DataFr
     return reports.orderBy(F.desc(time), tie)
 
 
-def score_trend(reports: DataFrame) -> DataFrame:
-    """Change of the score since the previous scan of the project (project_id, scan_ts, score)."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("project_id").orderBy("scan_ts")
-    return reports.withColumn("previous_score", F.lag("score").over(w)).withColumn(
-        "change", F.col("score") - F.col("previous_score")
-    )
+def score_trend(reports: DataFrame, block_days=30) -> DataFrame:
+    """Change of the score since the previous scan of the project (project_id, scan_id, scan_ts, score)."""
+    before = with_previous(reports, ["project_id"], "scan_ts", "scan_id", "score", block_days * 86_400, "previous_score")
+    return before.withColumn("change", F.col("score") - F.col("previous_score"))
 
 
 def distinct_recommendations(texts="recommendations"):

@@ -6,6 +6,7 @@ The model itself is a user function; everything around it is ordinary Spark work
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..dims import gates as D
+from ..dims.hits import PATTERN_TYPE_ELSE, PATTERN_TYPES
 from ..functions.ranking import top_per
 from ..functions.text import col, has_any, lookup, strip
 
@@ -75,10 +76,26 @@ def prompt_context(matches: DataFrame, results: DataFrame, n=10) -> DataFrame:
     counts = results.groupBy(*keys).agg(
         F.sum("expected").cast("bigint").alias("expected_count"), F.sum("found").cast("bigint").alias("found_count")
     )
-    graded = matches.groupBy(*keys, "severity").agg(F.count(F.lit(1)).alias("n"))
-    severities = graded.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("severity", "n")))).alias("severity_distribution"))
-    typed = matches.groupBy(*keys, "pattern_type").agg(F.count(F.lit(1)).alias("n"))
-    types = typed.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("pattern_type", "n")))).alias("pattern_types"))
+    # One pass for all counts: the grades and types are fixed, and files are counted after grouping by file.
+    grades = ["HIGH", "LOW", "MEDIUM"]
+    types = sorted([name for name, _ in PATTERN_TYPES] + [PATTERN_TYPE_ELSE])
+    per_file = matches.groupBy(*keys, "path").agg(
+        *[F.count_if(F.col("severity") == g).alias(g) for g in grades],
+        *[F.count_if(F.col("pattern_type") == t).alias(t) for t in types],
+    )
+    totals = per_file.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total_files"), *[F.sum(c).alias(c) for c in grades + types]
+    )
+
+    def counted(names):
+        entries = F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).alias("value")) for n in names])
+        return F.map_from_entries(F.filter(entries, lambda e: e["value"] > 0))
+
+    totals = totals.select(
+        *keys, "total_files", counted(grades).alias("severity_distribution"), counted(types).alias("pattern_types")
+    )
+    paths = top_per(per_file.select(*keys, "path"), keys, ["path"], 5)
+    files = paths.groupBy(*keys).agg(F.sort_array(F.collect_list("path")).alias("files_analyzed"))
     first = top_per(matches, keys, ["language", "path", "line_no", "rule_no"], n, "no")
     shown = first.groupBy(*keys).agg(
         F.sort_array(
@@ -90,11 +107,8 @@ def prompt_context(matches: DataFrame, results: DataFrame, n=10) -> DataFrame:
             )
         ).alias("sample_matches")
     )
-    paths = top_per(matches.select(*keys, "path").distinct(), keys, ["path"], 5)
-    files = paths.groupBy(*keys).agg(F.sort_array(F.collect_list("path")).alias("files_analyzed"))
-    total = matches.groupBy(*keys).agg(F.countDistinct("path").alias("total_files"))
     out = counts
-    for part in (severities, types, shown, files, total):
+    for part in (totals, files, shown):
         out = out.join(part, keys, "left")
     share = F.when(F.col("expected_count") > 0, F.col("found_count") / F.col("expected_count") * 100).otherwise(0.0)
     return out.withColumn("coverage_percentage", F.bround(share, 1))

@@ -3,24 +3,34 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..dims import gates as D
+from ..dims.languages import BASIC_SKIPPED_DIRS, LANGUAGE_ORD
 from ..functions.tables import fixed_table
 from ..functions.text import bands, col, lookup
-from .gates import gate_weight
+from .filters import prune_dirs
+from .gates import FLAGS, gate_weight
 
 
 def combine_languages(results: DataFrame, compat=False) -> DataFrame:
     """Sum of expected and found and mean quality over the languages of a project.
 
-    ``compat`` loses the result of a language for four gates as soon as it has hits; see README.
+    Files, lines and flags of the languages, if present, are combined too, so that later steps need no
+    further look at the files. ``compat`` loses the result of a language for four gates as soon as it has
+    hits; see README.
     """
     kept = F.lit(True)
     if compat:
         kept = ~(F.col("gate").isin(D.COMPAT_DROPPED_GATES) & (F.col("found") > 0))
     total = lambda c: F.coalesce(F.sum(F.when(kept, F.col(c))), F.lit(0)).cast("bigint")
+    more = []
+    if "files" in results.columns:
+        more += [F.sum("files").alias("total_files"), F.sum("loc").alias("total_lines")]
+        more += [F.min_by("language", lookup("language", LANGUAGE_ORD)).alias("language")]
+    more += [F.bool_or(f).alias(f) for f in FLAGS if f in results.columns]
     return results.groupBy("project_id", "gate").agg(
         total("expected").alias("expected"),
         total("found").alias("found"),
         F.coalesce(F.avg(F.when(kept, F.col("quality"))), F.lit(0.0)).alias("quality_score"),
+        *more,
     )
 
 
@@ -83,31 +93,20 @@ def score_gates(combined: DataFrame) -> DataFrame:
     return scored.withColumn("status", gate_status()).withColumn("coverage", clamp("coverage"))
 
 
-def complete_gates(projects: DataFrame, scores: DataFrame, applicability: DataFrame = None) -> DataFrame:
-    """All gates of every project. Gates that do not apply, and gates without a result, hold zeros."""
-    spark = projects.sparkSession
-    table = gate_table(spark).select("gate", "gate_ord")
-    every = projects.select("project_id").distinct().crossJoin(F.broadcast(table))
-    joined = every.join(scores, ["project_id", "gate"], "left")
-    if applicability is None:
-        joined = joined.withColumn("applicable", F.lit(True))
-    else:
-        joined = joined.join(applicability, ["project_id", "gate"], "left").withColumn(
-            "applicable", F.coalesce("applicable", F.lit(True))
-        )
-    keep = F.col("applicable")
-    zero = lambda c, z: F.when(keep, F.coalesce(F.col(c), F.lit(z))).otherwise(F.lit(z)).alias(c)
-    return joined.select(
-        "project_id",
-        "gate",
-        "gate_ord",
-        zero("expected", 0),
-        zero("found", 0),
-        zero("coverage", 0.0),
-        zero("quality_score", 0.0),
-        zero("final_score", 0.0),
-        F.when(~keep, "NOT_APPLICABLE").otherwise(F.coalesce("status", F.lit("UNSUPPORTED"))).alias("status"),
-    )
+def every_gate(projects: DataFrame) -> DataFrame:
+    """Each row once per gate. The gates are a literal list, so no join is needed."""
+    gates = F.split(F.lit(" ".join(D.GATES)), " ")
+    return projects.select("*", F.posexplode(gates).alias("gate_ord", "gate"))
+
+
+def mark_not_applicable(scores: DataFrame, applicable) -> DataFrame:
+    """Gates that do not apply to their project hold zeros."""
+    zero = lambda c, z: F.when(applicable, F.col(c)).otherwise(F.lit(z))
+    status = F.when(applicable, F.col("status")).otherwise("NOT_APPLICABLE")
+    marked = scores.withColumn("status", status)
+    for c, z in (("expected", 0), ("found", 0), ("coverage", 0.0), ("quality_score", 0.0), ("final_score", 0.0)):
+        marked = marked.withColumn(c, zero(c, z))
+    return marked
 
 
 COUNTED = ["PASS", "WARNING", "FAIL", "FAILED"]
@@ -215,9 +214,6 @@ def basic_project_score(files: DataFrame) -> DataFrame:
 
     A file name has one suffix only, so tests show when a suffix itself contains "test".
     """
-    from ..dims.languages import BASIC_SKIPPED_DIRS
-    from .filters import prune_dirs
-
     top = ~F.col("path").contains("/")
     name = F.col("file_name")
     manifests = ["package.json", "requirements.txt", "pom.xml", "build.gradle"]

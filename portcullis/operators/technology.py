@@ -12,7 +12,7 @@ from ..dims import gates as D, technologies as T
 from ..functions.patterns import WHOLE_TEXT
 from ..functions.ranking import top_per
 from ..functions.text import has_any
-from .scoring import gate_table
+from .scoring import every_gate
 
 
 def _any(tests):
@@ -40,13 +40,17 @@ def _technology_hits(text, language, flags):
             ]
         )
         out = F.when(language == lang, found) if out is None else out.when(language == lang, found)
-    return F.array_compact(out)
+    return F.array_compact(out).alias("_found")
+
+
+def _listed(found: DataFrame) -> DataFrame:
+    """One distinct row per entry. The outer form keeps the optimizer from evaluating the list twice."""
+    return found.select("project_id", "language", F.inline_outer("_found")).where("technology IS NOT NULL").distinct()
 
 
 def detect_technologies(files: DataFrame, text="content") -> DataFrame:
     """Technologies of each language's files. One row per project, language, category and technology."""
-    found = F.inline(_technology_hits(F.col(text), F.col("language"), WHOLE_TEXT))
-    return files.select("project_id", "language", found).distinct()
+    return _listed(files.select("project_id", "language", _technology_hits(F.col(text), F.col("language"), WHOLE_TEXT)))
 
 
 def technologies_in_manifests(files: DataFrame, languages: DataFrame, code: DataFrame, text="content") -> DataFrame:
@@ -57,9 +61,9 @@ def technologies_in_manifests(files: DataFrame, languages: DataFrame, code: Data
     names = [n for n in T.ROOT_MANIFESTS if "*" not in n]
     manifests = files.where(F.col("path").isin(names)).select("project_id", F.col(text).alias("_text"))
     asked = manifests.join(languages.select("project_id", "language"), "project_id")
-    found = asked.select(
-        "project_id", "language", F.inline(_technology_hits(F.col("_text"), F.col("language"), "(?iuUd)"))
-    ).distinct()
+    found = _listed(
+        asked.select("project_id", "language", _technology_hits(F.col("_text"), F.col("language"), "(?iuUd)"))
+    )
     return found.join(code, ["project_id", "language", "category", "technology"], "left_anti")
 
 
@@ -97,8 +101,8 @@ def sample_technologies_of_lines(lines: DataFrame, n=T.SAMPLED_FILES) -> DataFra
     return first_file_lines(lines, n).select("project_id", F.inline(labels)).distinct()
 
 
-def ui_flags(files: DataFrame, text="content") -> DataFrame:
-    """Per file: what speaks for a user interface. Rows of a file (its lines) are combined."""
+def ui_marks(text="content"):
+    """Aggregates that show, per file, what speaks for a user interface; see ``ui_verdict``."""
     content = F.col(text)
     low = F.lower(content)
     marks = {
@@ -109,17 +113,31 @@ def ui_flags(files: DataFrame, text="content") -> DataFrame:
         "server": has_any(low, T.SERVER_WORDS),
         **{f"tag_{i}": low.contains(tag) for i, tag in enumerate(T.HTML_TAGS)},
     }
-    grouped = files.groupBy("project_id", "path").agg(*[F.bool_or(test).alias(n) for n, test in marks.items()])
+    return [F.bool_or(test).alias(n) for n, test in marks.items()]
+
+
+def ui_verdict():
+    """Does a file (with its marks) show a user interface: by suffix, by text or by directory?"""
     tags = sum((F.col(f"tag_{i}").cast("int") for i in range(1, len(T.HTML_TAGS))), F.col("tag_0").cast("int"))
-    packed = grouped.withColumn("tags", tags)
     by_text = (
         F.col("ui_text")
-        | (F.col("html_text") & (F.col("tags") >= T.HTML_TAGS_NEEDED))
+        | (F.col("html_text") & (tags >= T.HTML_TAGS_NEEDED))
         | (F.col("script_text") & F.col("browser") & ~F.col("server"))
     )
     suffix = _any([F.lower("path").endswith(s) for s in T.UI_SUFFIXES])
     folder = _any([F.col("path").startswith(d + "/") for d in T.UI_DIRS])
-    return packed.select("project_id", "path", suffix.alias("by_suffix"), by_text.alias("by_text"), folder.alias("by_folder"))
+    return suffix | by_text | folder
+
+
+def job_mark(text="content"):
+    return F.bool_or(_rlike_any(F.col(text), T.BACKGROUND_PATTERNS)).alias("has_jobs")
+
+
+def file_facts(rows: DataFrame, text="content", *more) -> DataFrame:
+    """Per file: user interface, background jobs and further aggregates, in one pass."""
+    grouped = rows.groupBy("project_id", "path", "language").agg(*ui_marks(text), job_mark(text), *more)
+    names = [c for c in grouped.columns if c not in {"ui_text", "html_text", "script_text", "browser", "server"} and not c.startswith("tag_")]
+    return grouped.select(*names, ui_verdict().alias("has_ui"))
 
 
 def ui_packages(files: DataFrame, text="content") -> DataFrame:
@@ -135,9 +153,8 @@ def ui_packages(files: DataFrame, text="content") -> DataFrame:
 
 def has_ui_components(files: DataFrame, text="content") -> DataFrame:
     """Per project: does it have a user interface?"""
-    per_project = ui_flags(files, text).groupBy("project_id").agg(
-        F.bool_or(F.col("by_suffix") | F.col("by_text") | F.col("by_folder")).alias("_files")
-    )
+    per_file = files.groupBy("project_id", "path").agg(*ui_marks(text))
+    per_project = per_file.groupBy("project_id").agg(F.bool_or(ui_verdict()).alias("_files"))
     return per_project.join(ui_packages(files, text), "project_id", "left").select(
         "project_id", (F.col("_files") | F.coalesce("by_package", F.lit(False))).alias("has_ui")
     )
@@ -145,22 +162,23 @@ def has_ui_components(files: DataFrame, text="content") -> DataFrame:
 
 def has_background_jobs(files: DataFrame, text="content") -> DataFrame:
     """Per project: does any text show background work?"""
-    return files.groupBy("project_id").agg(
-        F.bool_or(_rlike_any(F.col(text), T.BACKGROUND_PATTERNS)).alias("has_jobs")
-    )
+    return files.groupBy("project_id").agg(job_mark(text))
 
 
-def gate_applicability(ui: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Per project and gate: does the gate apply?"""
-    flags = ui.join(jobs, "project_id", "full_outer")
+def applies():
+    """Does a gate apply to a project with the flags has_ui and has_jobs?"""
     gate = F.col("gate")
-    applies = (
+    return (
         F.when(gate.isin(D.UI_GATES), F.coalesce("has_ui", F.lit(False)))
         .when(gate.isin(D.JOB_GATES), F.coalesce("has_jobs", F.lit(False)))
         .otherwise(F.lit(True))
     )
-    table = gate_table(ui.sparkSession).select("gate")
-    return flags.crossJoin(F.broadcast(table)).select("project_id", "gate", applies.alias("applicable"))
+
+
+def gate_applicability(ui: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Per project and gate: does the gate apply?"""
+    flags = ui.join(jobs, "project_id", "full_outer")
+    return every_gate(flags).select("project_id", "gate", applies().alias("applicable"))
 
 
 def tech_stack(detected: DataFrame) -> DataFrame:

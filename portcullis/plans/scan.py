@@ -1,4 +1,9 @@
-"""The whole scan: lines or files in, gate scores and project summaries out."""
+"""The whole scan: lines or files in, gate scores and project summaries out.
+
+A scan is one pass over the text for file facts and one for the search. Everything after is a chain of
+small aggregates: language results, gate scores, project summaries. Each is derived from the one before,
+so persisting or writing ``results`` makes all later tables cheap.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..dims.languages import LANGUAGE_ORD
-from ..functions.text import lookup
+from ..dims.gates import GATE_ORD
+from ..functions.text import is_blank, lookup
 from ..operators import gates as G, languages as L, matching as M, scoring as A, technology as T
 from ..operators.filters import exclude_paths, include_paths, max_file_size
 from ..sources.files import explode_lines, search_languages
@@ -22,66 +27,83 @@ class Scan:
     summary: DataFrame  # project
 
 
-def summarize(analyses: DataFrame, scores: DataFrame) -> DataFrame:
+def score_projects(results: DataFrame, applicable=None, compat=False) -> DataFrame:
+    """Scores, status and order of all gates of a project."""
+    scored = A.score_gates(A.combine_languages(results, compat))
+    if applicable is None and "has_ui" in results.columns:
+        applicable = T.applies()
+    if applicable is not None:
+        scored = A.mark_not_applicable(scored, applicable)
+    return scored.withColumn("gate_ord", lookup("gate", GATE_ORD)).drop(*G.FLAGS)
+
+
+SCORE_COLUMNS = [
+    "project_id", "gate", "gate_ord", "expected", "found", "coverage", "quality_score", "final_score", "status",
+]
+
+
+def summarize(scores: DataFrame) -> DataFrame:
     """One row per project."""
-    language = analyses.groupBy("project_id").agg(
-        F.min_by("language", lookup("language", LANGUAGE_ORD)).alias("language"),
-        F.count(F.lit(1)).alias("total_files"),
-        F.sum("lines_of_code").cast("bigint").alias("total_lines"),
-    )
     counted = F.when(F.col("status").isin(A.COUNTED), F.col("final_score"))
     status = F.col("status")
-    totals = scores.groupBy("project_id").agg(
+    return scores.groupBy("project_id").agg(
+        F.first("language").alias("language"),
+        F.max("total_files").alias("total_files"),
+        F.max("total_lines").alias("total_lines"),
         F.coalesce(F.avg(counted), F.lit(0.0)).alias("overall_score"),
         F.count_if(status == "PASS").alias("passed_gates"),
         F.count_if(status == "WARNING").alias("warning_gates"),
         F.count_if(status.isin("FAIL", "FAILED")).alias("failed_gates"),
         F.count_if(status == "NOT_APPLICABLE").alias("not_applicable_gates"),
     )
-    return language.join(totals, "project_id")
 
 
-def scan_lines(
-    lines: DataFrame, rules=None, analyses=None, applicability="detect", compat=False, gates=None, cap=100
-) -> Scan:
+def line_facts(lines: DataFrame) -> DataFrame:
+    """Facts of the files of a line table."""
+    loc = F.count_if(~is_blank("line")).alias("lines_of_code")
+    return T.file_facts(lines, "line", loc)
+
+
+def _scan(facts, lines, rules, compat, gates):
+    stats = G.file_statistics(facts, gates)
+    found = G.found_counts(M.match_gates(lines, rules), gates)
+    results = G.gate_language_results(G.expected_counts(stats, gates), found, gates)
+    scores = score_projects(results, compat=compat)
+    return Scan(results, scores.select(*SCORE_COLUMNS), summarize(scores))
+
+
+def scan_lines(lines: DataFrame, rules=None, compat=False, gates=None, cap=100) -> Scan:
     """Scores every project of a line table (project_id, path, language, line_no, line).
 
     ``cap`` limits the files per language that expected counts are based on; the search sees all lines.
     """
-    if analyses is None:
-        analyses = L.first_files(G.file_analyses(lines), cap)
-    stats = G.file_statistics(analyses, gates)
-    found = G.found_counts(M.match_gates(lines, rules), gates)
-    results = G.gate_language_results(G.expected_counts(stats, gates), found, gates)
-    scored = A.score_gates(A.combine_languages(results, compat))
-    if isinstance(applicability, str):
-        applicability = T.gate_applicability(
-            T.has_ui_components(lines, "line"), T.has_background_jobs(lines, "line")
-        )
-    scores = A.complete_gates(stats.select("project_id"), scored, applicability)
-    if gates:
-        scores = scores.where(F.col("gate").isin(gates))
-    return Scan(results, scores, summarize(analyses, scores))
+    return _scan(L.first_files(line_facts(lines), cap), lines, rules, compat, gates)
 
 
 def scan_files(
-    files: DataFrame, rules=None, exclude=(), include=(), max_size=1024 * 1024, languages=None, compat=False, cap=100,
-    search_scope="all",
+    files: DataFrame, rules=None, exclude=(), include=(), max_size=1024 * 1024, languages=None, compat=False,
+    cap=100, search_scope="all",
 ) -> Scan:
     """Scores every project of a file table.
 
     Languages are detected per project unless given. Filters and the cap act on the file statistics;
-    the search reads all files of the project's languages, or only the kept ones with ``search_scope='kept'``.
+    the search reads all files of the project's languages, or only the kept ones with
+    ``search_scope='kept'``.
     """
     typed = L.file_language(files)
     kept = max_file_size(exclude_paths(include_paths(typed, include), exclude), max_size)
     if languages is None:
-        used = L.detect_languages(L.language_statistics(max_file_size(typed, 1024 * 1024))).select("project_id", "language")
-        keep_used = lambda df: df.join(used, ["project_id", "language"], "left_semi")
+        detected = L.detect_languages(L.language_statistics(max_file_size(L.prune(typed))))
+        used = detected.select("project_id", "language")
+        of_used = lambda df: df.join(used, ["project_id", "language"], "left_semi")
     else:
-        keep_used = lambda df: df.where(F.col("language").isin(languages))
-    first = L.first_files(keep_used(kept), cap)
-    searched = files if search_scope == "all" else kept.drop("language")
-    lines = explode_lines(keep_used(search_languages(searched, languages)))
-    applicability = T.gate_applicability(T.has_ui_components(first), T.has_background_jobs(first))
-    return scan_lines(lines, rules, G.file_analyses_of_files(first), applicability, compat)
+        of_used = lambda df: df.where(F.col("language").isin(languages))
+    loc = F.max(G.lines_of_code("content")).alias("lines_of_code")
+    facts = L.first_files(T.file_facts(of_used(kept), "content", loc), cap)
+    packages = T.ui_packages(files)
+    facts = facts.join(packages, "project_id", "left").withColumn(
+        "has_ui", F.col("has_ui") | F.coalesce("by_package", F.lit(False))
+    )
+    searched = files if search_scope == "all" else kept
+    lines = explode_lines(of_used(search_languages(searched.drop("language"), languages)))
+    return _scan(facts, lines, rules, compat, None)

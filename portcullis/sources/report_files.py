@@ -6,9 +6,6 @@ from ..dims.gates import EXPORT_NAMES
 from ..functions.text import lookup
 from ..operators.matching import BLOCK
 
-GATE_FIELDS = (
-    "name string, status string, score double, expected bigint, found bigint, coverage double, quality_score double"
-)
 REPORT_SCHEMA = (
     "project_name string, language string, scan_date string, overall_score double, total_files bigint, "
     "total_lines bigint, gate_summary struct<total_gates:bigint,implemented_gates:bigint,partial_gates:bigint,"
