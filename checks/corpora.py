@@ -142,7 +142,7 @@ def turn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 TREE_SQL = """
 SELECT concat('app', CAST(o_custkey % 40 AS VARCHAR(9))) AS project_id,
   concat(dir, CASE WHEN dir = '' THEN '' ELSE concat('d', CAST(k AS VARCHAR(20)), '/') END, name) AS path,
-  name AS file_name, CAST(o_totalprice * 10 AS BIGINT) AS size, o_orderdate AS modified,
+  name AS file_name, CAST(floor(o_totalprice * 10) AS BIGINT) AS size, o_orderdate AS modified,
   CASE name
     WHEN 'main.py' THEN concat('import os', chr(10), 'def run(x):', chr(10), '    print(x)', chr(10), 'from flask import Flask')
     WHEN 'App.java' THEN concat('package a.b;', chr(10), 'import java.util;', chr(10), 'public class App { @Test() }', chr(10), 'import org.junit.Test;')
@@ -168,8 +168,8 @@ FROM (
 # Answers of a scoring model, templated from ``events``.
 ANSWER_SQL = """
 SELECT event_id, CASE
-  WHEN event_type = 'view' THEN concat('Sure: {"quality_score": ', CAST(CAST(value * 100 AS BIGINT) AS VARCHAR(20)), ', "recommendations": ["use ', event_type, '", "log more"]} done')
-  WHEN event_type = 'click' THEN concat('Quality Score: ', CAST(CAST(value AS BIGINT) AS VARCHAR(20)), '.5', chr(10), 'Recommendations:', chr(10), '- first of ', event_type, chr(10), '- second', chr(10), chr(10), 'The end')
+  WHEN event_type = 'view' THEN concat('Sure: {"quality_score": ', CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR(20)), ', "recommendations": ["use ', event_type, '", "log more"]} done')
+  WHEN event_type = 'click' THEN concat('Quality Score: ', CAST(CAST(floor(value) AS BIGINT) AS VARCHAR(20)), '.5', chr(10), 'Recommendations:', chr(10), '- first of ', event_type, chr(10), '- second', chr(10), chr(10), 'The end')
   WHEN event_type = 'signup' THEN concat('1. Add structured logging to every service', chr(10), '* short', chr(10), '- Add correlation identifiers to all requests')
   WHEN event_type = 'error' THEN '{broken'
   ELSE concat('{"patterns_found": [], "n": ', CAST(event_id AS VARCHAR(20)), '}') END AS text

@@ -154,7 +154,8 @@ def quality_score(found="found", expected="expected", bonus="bonus", gate="gate"
 
 def gate_language_results(expected: DataFrame, found: DataFrame, gates=None) -> DataFrame:
     """Every gate for every language of a project, with or without hits."""
-    joined = expected.join(found, GATE_KEYS, "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    counters = [c for c in found.columns if c not in GATE_KEYS]
+    joined = expected.join(found, GATE_KEYS, "left").fillna(0, counters)
     more = [c for c in ["files", "loc", *FLAGS] if c in expected.columns]
     return joined.select(
         *GATE_KEYS, *more, "expected", "found", bonus_total(gates).cast("double").alias("bonus")
