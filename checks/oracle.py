@@ -316,8 +316,16 @@ FROM expect e LEFT JOIN found_per_gate f USING (project_id, language, gate)"""
 T["gate_dim"] = "SELECT * FROM (VALUES " + rows(
     (g, i, D.WEIGHTS[g], D.CATEGORY_OF[g], D.DISPLAY_NAMES[g]) for i, g in enumerate(D.GATES)
 ) + ") v(gate, gate_ord, weight, gate_category, display_name)"
+LANG_ORD = "CASE language WHEN 'java' THEN 0 WHEN 'python' THEN 1 WHEN 'javascript' THEN 2 WHEN 'typescript' THEN 3 ELSE 4 END"
+
+
+def mean(value, order, kept="true"):
+    """Mean with the values summed in a fixed order."""
+    return f"list_reduce(list_prepend(CAST(0 AS DOUBLE), list(CAST({value} AS DOUBLE) ORDER BY {order}) FILTER (WHERE {kept})), lambda a, b: a + b) / nullif(count(*) FILTER (WHERE {kept}), 0)"
+
+
 T["combined"] = f"""
-SELECT project_id, gate, {big('sum(expected)')} AS expected, {big('sum(found)')} AS found, avg(quality) AS quality_score FROM lang_results GROUP BY ALL"""
+SELECT project_id, gate, {big('sum(expected)')} AS expected, {big('sum(found)')} AS found, {mean('quality', LANG_ORD)} AS quality_score FROM lang_results GROUP BY project_id, gate"""
 T["covered"] = """
 SELECT *, CASE WHEN expected > 0 THEN CAST(found AS DOUBLE) / expected * 100 WHEN found = 0 THEN 100.0 WHEN gate = 'avoid_logging_secrets' THEN 0.0
     ELSE CAST(greatest(0, 100 - found * 10) AS DOUBLE) END AS coverage,
@@ -352,8 +360,8 @@ SELECT s.project_id, s.gate, s.gate_ord, s.weight, applicable, CASE WHEN applica
   CASE WHEN applicable THEN final_score ELSE 0.0 END AS final_score, CASE WHEN applicable THEN status ELSE 'NOT_APPLICABLE' END AS status
 FROM (SELECT s.*, CASE WHEN gate IN ('ui_errors', 'ui_error_tools') THEN has_ui WHEN gate = 'log_background_jobs' THEN has_jobs ELSE true END AS applicable
       FROM scored s JOIN c1_ui USING (project_id) JOIN c1_jobs USING (project_id)) s"""
-T["overall"] = """
-SELECT project_id, coalesce(avg(final_score) FILTER (WHERE status IN ('PASS', 'WARNING', 'FAIL', 'FAILED')), 0.0) AS overall_score FROM final GROUP BY 1"""
+T["overall"] = f"""
+SELECT project_id, coalesce({mean('final_score', 'gate_ord', "status IN ('PASS', 'WARNING', 'FAIL', 'FAILED')")}, 0.0) AS overall_score FROM final GROUP BY 1"""
 T["findings"] = f"""
 SELECT project_id, list_filter([CASE WHEN nf > 5 THEN concat('Multiple gate failures detected (', nf, ' gates failed)') END, CASE WHEN overall_score < 50 THEN {lit(D.LOW_SCORE_ISSUE)} END,
     CASE WHEN leak THEN {lit(D.SECRETS_ISSUE)} END], lambda x: x IS NOT NULL) AS critical_issues,
@@ -384,7 +392,7 @@ FROM overall o JOIN findings USING (project_id)
 JOIN (SELECT project_id, count(*) AS total_gates, count(*) FILTER (WHERE (found > 0 AND gate <> 'avoid_logging_secrets' AND status = 'PASS') OR (status = 'WARNING' AND NOT (found > 0 AND gate = 'avoid_logging_secrets'))) AS partial_gates,
         max(final_score) FILTER (WHERE gate = 'structured_logs') AS first_score FROM report_gates GROUP BY 1) USING (project_id)
 JOIN (SELECT project_id, count(*) AS total_files, {big('sum(loc)')} AS total_lines,
-        arg_min(language, CASE language WHEN 'java' THEN 0 WHEN 'python' THEN 1 WHEN 'javascript' THEN 2 WHEN 'typescript' THEN 3 ELSE 4 END) AS language FROM file_loc GROUP BY 1) USING (project_id)""")
+        arg_min(language, {LANG_ORD}) AS language FROM file_loc GROUP BY 1) USING (project_id)""")
 T["export_names"] = "SELECT * FROM (VALUES " + rows(D.EXPORT_NAMES.items()) + ") v(gate, export_name)"
 oracle("s5_sarif_results", f"""
 SELECT project_id, concat(export_name, '_', category) AS rule_id, lower(severity) AS level, suggested_fix AS message, path AS uri, line_no AS start_line, {big('column_start')} AS start_column,
@@ -602,7 +610,7 @@ UNION ALL SELECT project_id, path, 'text', {big(f"len(list_filter(string_split(c
 oracle("a2_totals", f"SELECT project_id, count(*) AS total_files, {big('sum(loc)')} AS total_lines FROM file_loc GROUP BY 1")
 oracle("a3_combine_languages", f"SELECT project_id, gate, expected, found, {r6('quality_score')} AS quality_score FROM combined")
 oracle("a3_combine_languages_compat", f"""
-SELECT project_id, gate, {big('coalesce(sum(expected) FILTER (WHERE k), 0)')} AS expected, {big('coalesce(sum(found) FILTER (WHERE k), 0)')} AS found, {r6('coalesce(avg(quality) FILTER (WHERE k), 0.0)')} AS quality_score
+SELECT project_id, gate, {big('coalesce(sum(expected) FILTER (WHERE k), 0)')} AS expected, {big('coalesce(sum(found) FILTER (WHERE k), 0)')} AS found, {r6('coalesce(' + mean('quality', LANG_ORD, 'k') + ', 0.0)')} AS quality_score
 FROM (SELECT *, NOT (gate IN ('error_logs', 'ui_errors', 'http_codes', 'ui_error_tools') AND found > 0) AS k FROM lang_results) GROUP BY 1, 2""")
 oracle("a4_coverage", f"SELECT project_id, gate, {r6('coverage')} AS coverage FROM covered")
 oracle("a5_quality_multiplier", f"SELECT project_id, gate, {r6('quality_score')} AS quality_score, {r6('multiplier')} AS multiplier FROM covered")
@@ -678,6 +686,15 @@ SELECT r.project_id, r.gate, gate_category, display_name AS practice,
     WHEN status = 'PASS' THEN 'Continue maintaining good practices' WHEN status = 'WARNING' THEN concat('Expand implementation of ', lower(display_name)) WHEN status = 'NOT_APPLICABLE' THEN 'Not applicable to this project type'
     ELSE concat('Implement ', lower(display_name)) END AS recommendation, coalesce(s.comment, '') AS comment
 FROM report_gates r JOIN gate_dim d ON d.gate = r.gate LEFT JOIN supplied s ON s.project_id = r.project_id AND s.gate = r.gate""")
+T["project_totals"] = f"""
+SELECT project_id, count(*) AS total_files, {big('sum(loc)')} AS total_lines FROM file_loc GROUP BY 1"""
+oracle("r5_issue_comment", f"""
+SELECT project_id, CASE WHEN overall_score >= 80 THEN 'HIGH' WHEN overall_score >= 60 THEN 'MODERATE' ELSE 'LOW' END AS compliance,
+  concat('HARD GATE ASSESSMENT REPORT', {LF}, repeat('=', 50), {LF}, {LF}, 'Generated: 2024-01-01 00:00:00', {LF}, {LF}, 'OVERALL SCORE: ', format('{{:.1f}}', overall_score), '%', {LF}, 'FILES ANALYZED: ', total_files, {LF},
+    'LINES OF CODE: ', format('{{:,}}', total_lines), {LF}, {LF}, 'GATE SUMMARY:', {LF}, '- Implemented: ', ok, {LF}, '- Failed: ', bad, {LF}, '- Total Applicable: ', n, {LF}, {LF},
+    CASE WHEN len(recommendations) > 0 THEN concat('RECOMMENDATIONS:', {LF}, array_to_string(list_transform(recommendations[1:3], lambda r, i: concat(i, '. ', r)), {LF}), {LF}, {LF}) ELSE '' END) AS comment
+FROM overall JOIN project_totals USING (project_id) JOIN findings USING (project_id)
+JOIN (SELECT project_id, count(*) FILTER (WHERE status = 'PASS') AS ok, count(*) FILTER (WHERE status IN ('FAIL', 'FAILED')) AS bad, count(*) FILTER (WHERE applicable) AS n FROM final GROUP BY 1) USING (project_id)""")
 oracle("r6_report_listing", """
 SELECT scan_id, file_name, size, modified, CASE WHEN size < 1024 THEN concat(size, ' B') WHEN size < 1048576 THEN concat(format('{:.1f}', size / 1024), ' KB') ELSE concat(format('{:.1f}', size / 1048576), ' MB') END AS size_text,
   coalesce(status, 'unknown') AS status, round(score, 6) AS score FROM saved LEFT JOIN runs USING (scan_id)""")
@@ -768,3 +785,4 @@ oracle("x10_score_with", f"SELECT project_id, gate, {r6('avg(length(sample) % 10
 oracle("st1_stream_matches", f"""
 SELECT {KEY}, {big('column_start')} AS column_start, severity, category, {big("CASE severity WHEN 'HIGH' THEN 8 WHEN 'MEDIUM' THEN 5 ELSE 2 END")} AS priority FROM hits""")
 oracle("st2_scan_status_latest", "SELECT user_id AS scan_id, arg_max(event_type, (ts, event_type)) AS status, max(ts) AS ts FROM events GROUP BY 1")
+oracle("udtf_scan_text", f"SELECT {KEY}, gate, matched_text, {big('column_start')} AS column_start, {big('column_end')} AS column_end FROM hits")

@@ -964,11 +964,8 @@ def udtf_scan_text(spark, sf):
     from portcullis.functions.udtf import register
 
     register(spark)
-    turns = C.table(spark, sf, "conversations")
-    docs = C.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    both = docs.unionByName(turns.select((-F.col("conv_id") * 1000 - F.col("turn") - 1).alias("id"), "text"))
     return spark.sql(
-        "SELECT d.id, s.gate, s.rule_id, s.line_no, s.column_start, s.column_end, s.matched_text "
-        "FROM {d} d, LATERAL scan_text(d.text, 'python') s",
-        d=both,
+        "SELECT l.project_id, l.path, l.line_no, s.rule_id, s.gate, s.matched_text, s.column_start, s.column_end "
+        "FROM {l} l, LATERAL scan_text(l.line, l.language) s",
+        l=lines(spark, sf),
     )

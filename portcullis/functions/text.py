@@ -77,6 +77,30 @@ def title_words(c):
     return F.initcap(F.replace(col(c), F.lit("_"), F.lit(" ")))
 
 
+def tenths(c):
+    """A number of at least 0 in tenths, rounded exactly; a true tie goes to the even tenth.
+
+    The sign of 20x - m is exact in doubles when taken as (16x - m) + 4x, so numbers that only look like
+    a tie in decimal form are rounded by their real value.
+    """
+    x = col(c).cast("double")
+    n = F.floor(x * 10)
+    side = (x * 16 - (n * 2 + 1)) + x * 4
+    return F.when(side > 0, n + 1).when(side < 0, n).otherwise(n + n % 2)
+
+
 def fixed1(c):
-    """A number with one decimal, as text."""
-    return F.format_string("%.1f", col(c).cast("double"))
+    """A number of at least 0 with one decimal, as text."""
+    t = tenths(c)
+    return F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"))
+
+
+def ordered_mean(order, value, kept=None):
+    """Mean of a group's few values, summed in a fixed order so that equal inputs give equal results.
+
+    Only for groups of known small size (the languages or the gates of a project).
+    """
+    pair = F.struct(col(order).alias("o"), col(value).alias("v"))
+    listed = F.sort_array(F.collect_list(pair if kept is None else F.when(kept, pair)))
+    total = F.aggregate(listed, F.lit(0.0), lambda acc, x: acc + x["v"])
+    return F.when(F.size(listed) > 0, total / F.size(listed))

@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql.functions import udtf
 
-from ..dims.rules import default_rules
+from ..dims.rules import default_rules, literal_runs
 
 
 @udtf(returnType="gate string, rule_id string, line_no int, column_start int, column_end int, matched_text string")
@@ -18,7 +18,12 @@ class ScanText:
     def _of(self, language):
         if language not in self._rules:
             self._rules[language] = [
-                (r.gate, r.rule_id, re.compile(r.pattern.replace("(?i)", ""), re.IGNORECASE))
+                (
+                    r.gate,
+                    r.rule_id,
+                    (r.word.lower(), *literal_runs(r.call)) if r.word else r.anchors,
+                    re.compile(r.pattern.replace("(?i)", ""), re.IGNORECASE),
+                )
                 for r in default_rules(languages=[language])
                 if not r.dead
             ]
@@ -26,8 +31,9 @@ class ScanText:
 
     def eval(self, text: str, language: str):
         for line_no, line in enumerate((text or "").split("\n"), 1):
-            for gate, rule_id, pattern in self._of(language):
-                hit = pattern.search(line)
+            low = line.lower().replace("\u017f", "s").replace("\u0131", "i").replace("\u0307", "")
+            for gate, rule_id, guards, pattern in self._of(language):
+                hit = all(g in low for g in guards) and pattern.search(line)
                 if hit:
                     yield gate, rule_id, line_no, hit.start(), hit.end(), hit.group(0)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..dims import gates as D
 from ..dims.hits import PATTERN_TYPE_ELSE, PATTERN_TYPES
 from ..functions.ranking import top_per
-from ..functions.text import col, has_any, lookup, strip
+from ..functions.text import col, fixed1, lookup, strip, tenths
 
 SAMPLE_CHARS, PROMPT_CHARS, SAMPLES_KEPT = 2000, 15_000, 5
 CUT_MARK = "... [truncated]"
@@ -111,7 +111,7 @@ def prompt_context(matches: DataFrame, results: DataFrame, n=10) -> DataFrame:
     for part in (totals, files, shown):
         out = out.join(part, keys, "left")
     share = F.when(F.col("expected_count") > 0, F.col("found_count") / F.col("expected_count") * 100).otherwise(0.0)
-    return out.withColumn("coverage_percentage", F.bround(share, 1))
+    return out.withColumn("coverage_percentage", tenths(share) / 10)
 
 
 def gate_prompts(context: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def gate_prompts(context: DataFrame) -> DataFrame:
     )
     prompt = F.concat(
         F.lit("Gate: "), F.col("gate"), F.lit("\nCoverage: "), F.col("found_count").cast("string"), F.lit("/"), F.col("expected_count").cast("string"),
-        F.lit(" patterns found ("), F.format_string("%.1f", e), F.lit("% coverage)\nStatus: "), status,
+        F.lit(" patterns found ("), fixed1(e), F.lit("% coverage)\nStatus: "), status,
         F.lit("\n\nSeverity Distribution:\n"), grades, F.lit("\n\nSample Code Patterns Found:\n"), F.coalesce(samples, F.lit("")),
         F.lit('\n\nGive 3 to 5 specific, actionable recommendations as a JSON object {"quality_score": <0-100>, "recommendations": [...]}.'),
     )

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..dims import gates as D
 from ..dims.languages import BASIC_SKIPPED_DIRS, LANGUAGE_ORD
 from ..functions.tables import fixed_table
-from ..functions.text import bands, col, lookup
+from ..functions.text import bands, col, lookup, ordered_mean
 from .filters import prune_dirs
 from .gates import FLAGS, gate_weight
 
@@ -29,7 +29,7 @@ def combine_languages(results: DataFrame, compat=False) -> DataFrame:
     return results.groupBy("project_id", "gate").agg(
         total("expected").alias("expected"),
         total("found").alias("found"),
-        F.coalesce(F.avg(F.when(kept, F.col("quality"))), F.lit(0.0)).alias("quality_score"),
+        F.coalesce(ordered_mean(lookup("language", LANGUAGE_ORD), "quality", kept), F.lit(0.0)).alias("quality_score"),
         *more,
     )
 
@@ -124,8 +124,12 @@ def summary_counts(scores: DataFrame) -> DataFrame:
 
 def overall_score(scores: DataFrame) -> DataFrame:
     """Plain mean over the gates that count."""
-    counted = F.when(F.col("status").isin(COUNTED), F.col("final_score"))
-    return scores.groupBy("project_id").agg(F.coalesce(F.avg(counted), F.lit(0.0)).alias("overall_score"))
+    return scores.groupBy("project_id").agg(overall_value().alias("overall_score"))
+
+
+def overall_value():
+    counted = F.col("status").isin(COUNTED)
+    return F.coalesce(ordered_mean(lookup("gate", D.GATE_ORD), "final_score", counted), F.lit(0.0))
 
 
 def mean_all_gates(scores: DataFrame) -> DataFrame:
@@ -153,7 +157,7 @@ def project_findings(scores: DataFrame) -> DataFrame:
     failed = F.col("status") == "FAIL"
     grouped = scores.groupBy("project_id").agg(
         F.count_if(failed).alias("_failed"),
-        F.coalesce(F.avg(F.when(F.col("status").isin(COUNTED), F.col("final_score"))), F.lit(0.0)).alias("_score"),
+        overall_value().alias("_score"),
         F.bool_or(failed & (F.col("gate") == D.SECRETS_GATE)).alias("_leak"),
         # At most 15 gates per project.
         F.slice(

@@ -44,13 +44,12 @@ SCORE_COLUMNS = [
 
 def summarize(scores: DataFrame) -> DataFrame:
     """One row per project."""
-    counted = F.when(F.col("status").isin(A.COUNTED), F.col("final_score"))
     status = F.col("status")
     return scores.groupBy("project_id").agg(
         F.first("language").alias("language"),
         F.max("total_files").alias("total_files"),
         F.max("total_lines").alias("total_lines"),
-        F.coalesce(F.avg(counted), F.lit(0.0)).alias("overall_score"),
+        A.overall_value().alias("overall_score"),
         F.count_if(status == "PASS").alias("passed_gates"),
         F.count_if(status == "WARNING").alias("warning_gates"),
         F.count_if(status.isin("FAIL", "FAILED")).alias("failed_gates"),
