@@ -10,6 +10,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from portcullis.functions.ranking import numbered
+from portcullis.functions.tables import spread
 from portcullis.sources.files import files_from_table, lines_from_table, with_file_columns
 
 
@@ -77,7 +78,7 @@ def _with_user_columns(df):
 
 
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    events = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"))
     body = _with_user_columns(numbered(events, ["user_id"], "event_id")).withColumn("k", F.col("event_id") % 11)
     columns = ["project_id", "path", "language", "line_no", "line"]
     body = body.selectExpr(*_split(CODE_KEYS), "CAST(2 + row_no AS BIGINT) AS line_no", f"{LINE_TEXT} AS line")

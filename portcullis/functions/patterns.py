@@ -1,5 +1,8 @@
 """Regular expressions written for Python, as Spark evaluates them."""
 
+from ..dims.rules import literal_runs
+from .text import has_any
+
 # Ignore case by Unicode rules; the dot takes everything (lines hold no line break).
 IGNORE_CASE = "(?isuU)"
 # Whole text, ignoring case, ^ and $ at every line; the dot stops at line feeds only.
@@ -11,3 +14,16 @@ PLAIN = "(?Ud)"
 def java(pattern, flags=IGNORE_CASE):
     """Java takes flags inside a pattern as Python before 3.11 did."""
     return flags + pattern
+
+
+def guarded(text, low, patterns, flags=WHOLE_TEXT):
+    """Does one of the patterns occur in the text?
+
+    Each pattern is tried only if ``low`` (the folded text) contains the longest literal that its matches
+    need, as plain containment is far cheaper than an alternation of many patterns.
+    """
+    guards = [max(literal_runs(p), key=len, default="") for p in patterns]
+    both = "|".join(f"(?:{p})" for p in patterns)
+    if min(map(len, guards), default=0) < 2:
+        return text.rlike(flags + both)
+    return has_any(low, sorted(set(guards))) & text.rlike(flags + both)

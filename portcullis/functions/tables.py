@@ -27,3 +27,14 @@ def computed_once(df: DataFrame, name, value) -> DataFrame:
     Filters are not pushed below a generator, while they would be copied into a plain projection.
     """
     return df.drop(name).select("*", F.explode_outer(F.array(value)).alias(name))
+
+
+def spread(df: DataFrame, at_least=None) -> DataFrame:
+    """Spreads a source over the cores if it has fewer partitions than these.
+
+    Searching is work for the processor, so a few small files would leave most cores idle. A source with
+    enough partitions, as any large one, is left as it is and not shuffled. For plain scans only: the
+    partitions are counted without running anything.
+    """
+    cores = at_least or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

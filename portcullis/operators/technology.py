@@ -9,9 +9,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..dims import gates as D, technologies as T
-from ..functions.patterns import WHOLE_TEXT
+from ..functions.patterns import WHOLE_TEXT, guarded
 from ..functions.ranking import top_per
-from ..functions.text import has_any
+from ..functions.text import folded, has_any
 from .scoring import every_gate
 
 
@@ -19,12 +19,7 @@ def _any(tests):
     return reduce(lambda a, b: a | b, tests)
 
 
-def _rlike_any(text, patterns, flags=WHOLE_TEXT):
-    """One alternation is one pass over the text."""
-    return text.rlike(flags + "|".join(f"(?:{p})" for p in patterns))
-
-
-def _technology_hits(text, language, flags):
+def _technology_hits(text, low, language, flags):
     out = None
     by_language = {}
     for lang, category, tech, pattern in T.technology_rules():
@@ -33,7 +28,7 @@ def _technology_hits(text, language, flags):
         found = F.array(
             *[
                 F.when(
-                    _rlike_any(text, patterns, flags),
+                    guarded(text, low, patterns, flags),
                     F.struct(F.lit(category).alias("category"), F.lit(tech).alias("technology")),
                 )
                 for (category, tech), patterns in techs.items()
@@ -43,6 +38,12 @@ def _technology_hits(text, language, flags):
     return F.array_compact(out).alias("_found")
 
 
+def _with_technologies(rows, flags):
+    return rows.select(
+        "project_id", "language", _technology_hits(F.col("_text"), F.col("_low"), F.col("language"), flags)
+    )
+
+
 def _listed(found: DataFrame) -> DataFrame:
     """One distinct row per entry. The outer form keeps the optimizer from evaluating the list twice."""
     return found.select("project_id", "language", F.inline_outer("_found")).where("technology IS NOT NULL").distinct()
@@ -50,7 +51,8 @@ def _listed(found: DataFrame) -> DataFrame:
 
 def detect_technologies(files: DataFrame, text="content") -> DataFrame:
     """Technologies of each language's files. One row per project, language, category and technology."""
-    return _listed(files.select("project_id", "language", _technology_hits(F.col(text), F.col("language"), WHOLE_TEXT)))
+    rows = files.select("project_id", "language", F.col(text).alias("_text"), folded(text).alias("_low"))
+    return _listed(_with_technologies(rows, WHOLE_TEXT))
 
 
 def technologies_in_manifests(files: DataFrame, languages: DataFrame, code: DataFrame, text="content") -> DataFrame:
@@ -59,11 +61,11 @@ def technologies_in_manifests(files: DataFrame, languages: DataFrame, code: Data
     ``languages`` holds project_id and language; ``code`` the result of ``detect_technologies``.
     """
     names = [n for n in T.ROOT_MANIFESTS if "*" not in n]
-    manifests = files.where(F.col("path").isin(names)).select("project_id", F.col(text).alias("_text"))
-    asked = manifests.join(languages.select("project_id", "language"), "project_id")
-    found = _listed(
-        asked.select("project_id", "language", _technology_hits(F.col("_text"), F.col("language"), "(?iuUd)"))
+    manifests = files.where(F.col("path").isin(names)).select(
+        "project_id", F.col(text).alias("_text"), folded(text).alias("_low")
     )
+    asked = manifests.join(languages.select("project_id", "language"), "project_id")
+    found = _listed(_with_technologies(asked, "(?iuUd)"))
     return found.join(code, ["project_id", "language", "category", "technology"], "left_anti")
 
 
@@ -101,14 +103,18 @@ def sample_technologies_of_lines(lines: DataFrame, n=T.SAMPLED_FILES) -> DataFra
     return first_file_lines(lines, n).select("project_id", F.inline(labels)).distinct()
 
 
+def with_low(rows: DataFrame, text="content") -> DataFrame:
+    """Adds the folded text that ``ui_marks`` and ``job_mark`` test first."""
+    return rows.withColumn("_low", folded(text))
+
+
 def ui_marks(text="content"):
     """Aggregates that show, per file, what speaks for a user interface; see ``ui_verdict``."""
-    content = F.col(text)
-    low = F.lower(content)
+    content, low = F.col(text), F.col("_low")
     marks = {
-        "ui_text": _rlike_any(content, T.UI_PATTERNS),
-        "html_text": _rlike_any(content, T.HTML_PATTERNS),
-        "script_text": _rlike_any(content, T.SCRIPT_PATTERNS),
+        "ui_text": guarded(content, low, T.UI_PATTERNS),
+        "html_text": guarded(content, low, T.HTML_PATTERNS),
+        "script_text": guarded(content, low, T.SCRIPT_PATTERNS),
         "browser": has_any(low, T.BROWSER_WORDS),
         "server": has_any(low, T.SERVER_WORDS),
         **{f"tag_{i}": low.contains(tag) for i, tag in enumerate(T.HTML_TAGS)},
@@ -130,12 +136,12 @@ def ui_verdict():
 
 
 def job_mark(text="content"):
-    return F.bool_or(_rlike_any(F.col(text), T.BACKGROUND_PATTERNS)).alias("has_jobs")
+    return F.bool_or(guarded(F.col(text), F.col("_low"), T.BACKGROUND_PATTERNS)).alias("has_jobs")
 
 
 def file_facts(rows: DataFrame, text="content", *more) -> DataFrame:
     """Per file: user interface, background jobs and further aggregates, in one pass."""
-    grouped = rows.groupBy("project_id", "path", "language").agg(*ui_marks(text), job_mark(text), *more)
+    grouped = with_low(rows, text).groupBy("project_id", "path", "language").agg(*ui_marks(text), job_mark(text), *more)
     names = [c for c in grouped.columns if c not in {"ui_text", "html_text", "script_text", "browser", "server"} and not c.startswith("tag_")]
     return grouped.select(*names, ui_verdict().alias("has_ui"))
 
@@ -153,7 +159,7 @@ def ui_packages(files: DataFrame, text="content") -> DataFrame:
 
 def has_ui_components(files: DataFrame, text="content") -> DataFrame:
     """Per project: does it have a user interface?"""
-    per_file = files.groupBy("project_id", "path").agg(*ui_marks(text))
+    per_file = with_low(files, text).groupBy("project_id", "path").agg(*ui_marks(text))
     per_project = per_file.groupBy("project_id").agg(F.bool_or(ui_verdict()).alias("_files"))
     return per_project.join(ui_packages(files, text), "project_id", "left").select(
         "project_id", (F.col("_files") | F.coalesce("by_package", F.lit(False))).alias("has_ui")
@@ -162,7 +168,7 @@ def has_ui_components(files: DataFrame, text="content") -> DataFrame:
 
 def has_background_jobs(files: DataFrame, text="content") -> DataFrame:
     """Per project: does any text show background work?"""
-    return files.groupBy("project_id").agg(job_mark(text))
+    return with_low(files, text).groupBy("project_id").agg(job_mark(text))
 
 
 def applies():
