@@ -78,8 +78,9 @@ def _with_user_columns(df):
 
 
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"))
-    body = _with_user_columns(numbered(events, ["user_id"], "event_id")).withColumn("k", F.col("event_id") % 11)
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    body = _with_user_columns(numbered(events, ["user_id"], "event_id", partitions=n)).withColumn("k", F.col("event_id") % 11)
     columns = ["project_id", "path", "language", "line_no", "line"]
     body = body.selectExpr(*_split(CODE_KEYS), "CAST(2 + row_no AS BIGINT) AS line_no", f"{LINE_TEXT} AS line")
     heads = _with_user_columns(events.select("user_id").distinct())
@@ -113,14 +114,14 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     path = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
     return files_from_table(docs, "source", path, "text")
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as files: the host is the project, the rest of the address the path."""
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages"))
     host = F.regexp_extract("url", "^https?://([^/?#]*)", 1)
     route = F.regexp_extract("url", "^https?://[^/?#]*/?([^?#]*)", 1)
     path = F.concat(route, F.when(route.contains("."), F.lit("")).otherwise(F.lit(".p")), F.lit("#"), F.col("page_id").cast("string"))

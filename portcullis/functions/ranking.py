@@ -3,17 +3,20 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def numbered(df: DataFrame, keys, position, block=65_536, name="row_no"):
+def numbered(df: DataFrame, keys, position, block=65_536, name="row_no", partitions=None):
     """1-based row number per key in the order of the integer column ``position`` (unique per key).
 
     Rows are counted per (key, block of positions); only these counts are ordered per key. The row
     numbers inside a block then need at most ``block`` rows in one task, however large a key is.
+    With ``partitions`` the one shuffle keeps that many partitions, for costly work that follows.
     """
     blocked = df.withColumn("_block", F.floor(F.col(position) / block))
     counts = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys, "_block").orderBy(position)
+    if partitions:
+        blocked = blocked.repartition(partitions, *keys, "_block")
     return (
         blocked.join(offsets, [*keys, "_block"])
         .withColumn(name, F.row_number().over(inside) + F.col("_before"))
