@@ -80,18 +80,16 @@ def _with_user_columns(df):
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    body = _with_user_columns(numbered(events, ["user_id"], "event_id", partitions=n)).withColumn("k", F.col("event_id") % 11)
-    columns = ["project_id", "path", "language", "line_no", "line"]
-    body = body.selectExpr(*_split(CODE_KEYS), "CAST(2 + row_no AS BIGINT) AS line_no", f"{LINE_TEXT} AS line")
-    heads = _with_user_columns(events.select("user_id").distinct())
-    top = F.inline(
-        F.expr(
-            f"array(struct(CAST(1 AS BIGINT) AS line_no, concat('# generated ', role) AS line), "
-            f"struct(CAST(2 AS BIGINT) AS line_no, {HEADER_TEXT} AS line))"
-        )
+    rows = _with_user_columns(numbered(events, ["user_id"], "event_id", partitions=n)).withColumn("k", F.col("event_id") % 11)
+    # The first row of a file brings the two lines above it along, so no second pass over the events is needed.
+    own = f"struct(CAST(2 + row_no AS BIGINT) AS line_no, {LINE_TEXT} AS line)"
+    above = (
+        f"struct(CAST(1 AS BIGINT) AS line_no, concat('# generated ', role) AS line), "
+        f"struct(CAST(2 AS BIGINT) AS line_no, {HEADER_TEXT} AS line)"
     )
-    heads = heads.select("*", top).selectExpr(*_split(CODE_KEYS), "line_no", "line")
-    return body.select(columns).unionByName(heads.select(columns))
+    found = F.inline_outer(F.expr(f"CASE WHEN row_no = 1 THEN array({above}, {own}) ELSE array({own}) END"))
+    keyed = rows.select("*", found).selectExpr(*_split(CODE_KEYS), "line_no", "line")
+    return keyed.select("project_id", "path", "language", "line_no", "line")
 
 
 def _split(text):
