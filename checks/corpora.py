@@ -181,7 +181,7 @@ def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from portcullis.sources.files import known_language
 
     text = TREE_SQL.replace("{", "{{").replace("}", "}}").replace("FROM orders", "FROM {src}")
-    files = spark.sql(text, src=table(spark, sf_dir, "orders")).drop("file_name")
+    files = spark.sql(text, src=spread(table(spark, sf_dir, "orders"))).drop("file_name")
     return with_file_columns(files).withColumn("language", known_language())
 
 

@@ -1,7 +1,11 @@
 """Regular expressions written for Python, as Spark evaluates them."""
 
+import json
+
+from pyspark.sql import functions as F
+
 from ..dims.rules import literal_runs
-from .text import has_any
+from .text import sql_text
 
 # Ignore case by Unicode rules; the dot takes everything (lines hold no line break).
 IGNORE_CASE = "(?isuU)"
@@ -16,14 +20,18 @@ def java(pattern, flags=IGNORE_CASE):
     return flags + pattern
 
 
+def guarded_list(entries, flags=WHOLE_TEXT):
+    """Entries (pattern, more fields) as a SQL list of structs with the pattern's guard: the longest literal
+    that its matches need. Plain containment of the guard is far cheaper than the pattern."""
+    rows = [
+        {"guard": max(literal_runs(p), key=len, default=""), "pattern": flags + p, **more} for p, more in entries
+    ]
+    names = list(dict.fromkeys(k for row in rows for k in row))
+    fields = ",".join(f"{n}:string" for n in names)
+    return f"from_json({sql_text(json.dumps(rows))}, 'array<struct<{fields}>>')"
+
+
 def guarded(text, low, patterns, flags=WHOLE_TEXT):
-    """Does one of the patterns occur in the text?
-
-    Each pattern is tried only if ``low`` (the folded text) contains the longest literal that its matches
-    need, as plain containment is far cheaper than an alternation of many patterns.
-    """
-    guards = [max(literal_runs(p), key=len, default="") for p in patterns]
-    both = "|".join(f"(?:{p})" for p in patterns)
-    if min(map(len, guards), default=0) < 2:
-        return text.rlike(flags + both)
-    return has_any(low, sorted(set(guards))) & text.rlike(flags + both)
+    """Does one of the patterns occur in the column ``text``, whose folded form is the column ``low``?"""
+    listed = guarded_list([(p, {}) for p in patterns], flags)
+    return F.expr(f"exists({listed}, r -> contains({low}, r.guard) AND {text} RLIKE r.pattern)")

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..dims import gates as D, technologies as T
-from ..functions.patterns import WHOLE_TEXT, guarded
+from ..functions.patterns import WHOLE_TEXT, guarded, guarded_list
 from ..functions.ranking import top_per
 from ..functions.text import folded, has_any
 from .scoring import every_gate
@@ -19,29 +19,18 @@ def _any(tests):
     return reduce(lambda a, b: a | b, tests)
 
 
-def _technology_hits(text, low, language, flags):
-    out = None
+def _with_technologies(rows: DataFrame, flags) -> DataFrame:
+    """The technologies that a text (``_text``, folded ``_low``) shows under the rules of its language."""
     by_language = {}
-    for lang, category, tech, pattern in T.technology_rules():
-        by_language.setdefault(lang, {}).setdefault((category, tech), []).append(pattern)
-    for lang, techs in by_language.items():
-        found = F.array(
-            *[
-                F.when(
-                    guarded(text, low, patterns, flags),
-                    F.struct(F.lit(category).alias("category"), F.lit(tech).alias("technology")),
-                )
-                for (category, tech), patterns in techs.items()
-            ]
-        )
-        out = F.when(language == lang, found) if out is None else out.when(language == lang, found)
-    return F.array_compact(out).alias("_found")
-
-
-def _with_technologies(rows, flags):
-    return rows.select(
-        "project_id", "language", _technology_hits(F.col("_text"), F.col("_low"), F.col("language"), flags)
+    for language, category, technology, pattern in T.technology_rules():
+        entry = (pattern, {"category": category, "technology": technology})
+        by_language.setdefault(language, []).append(entry)
+    whens = [f"WHEN '{lang}' THEN {guarded_list(entries, flags)}" for lang, entries in by_language.items()]
+    found = (
+        f"transform(filter(CASE language {' '.join(whens)} END, r -> contains(_low, r.guard) AND _text RLIKE r.pattern), "
+        f"r -> struct(r.category AS category, r.technology AS technology))"
     )
+    return rows.select("project_id", "language", F.expr(found).alias("_found"))
 
 
 def _listed(found: DataFrame) -> DataFrame:
@@ -103,23 +92,27 @@ def sample_technologies_of_lines(lines: DataFrame, n=T.SAMPLED_FILES) -> DataFra
     return first_file_lines(lines, n).select("project_id", F.inline(labels)).distinct()
 
 
-def with_low(rows: DataFrame, text="content") -> DataFrame:
-    """Adds the folded text that ``ui_marks`` and ``job_mark`` test first."""
-    return rows.withColumn("_low", folded(text))
+UI_MARKS = ["ui_text", "html_text", "script_text", "browser", "server", *[f"tag_{i}" for i in range(len(T.HTML_TAGS))]]
 
 
-def ui_marks(text="content"):
-    """Aggregates that show, per file, what speaks for a user interface; see ``ui_verdict``."""
-    content, low = F.col(text), F.col("_low")
-    marks = {
-        "ui_text": guarded(content, low, T.UI_PATTERNS),
-        "html_text": guarded(content, low, T.HTML_PATTERNS),
-        "script_text": guarded(content, low, T.SCRIPT_PATTERNS),
-        "browser": has_any(low, T.BROWSER_WORDS),
-        "server": has_any(low, T.SERVER_WORDS),
-        **{f"tag_{i}": low.contains(tag) for i, tag in enumerate(T.HTML_TAGS)},
-    }
-    return [F.bool_or(test).alias(n) for n, test in marks.items()]
+def with_marks(rows: DataFrame, text="content", *keep) -> DataFrame:
+    """Per row of text: what speaks for a user interface (see ``ui_verdict``) and for background jobs."""
+    low = F.col("_low")
+    folded_rows = rows.withColumn("_low", folded(text))
+    return folded_rows.select(
+        *keep,
+        guarded(text, "_low", T.UI_PATTERNS).alias("ui_text"),
+        guarded(text, "_low", T.HTML_PATTERNS).alias("html_text"),
+        guarded(text, "_low", T.SCRIPT_PATTERNS).alias("script_text"),
+        has_any(low, T.BROWSER_WORDS).alias("browser"),
+        has_any(low, T.SERVER_WORDS).alias("server"),
+        *[low.contains(tag).alias(f"tag_{i}") for i, tag in enumerate(T.HTML_TAGS)],
+        guarded(text, "_low", T.BACKGROUND_PATTERNS).alias("has_jobs"),
+    )
+
+
+def _any_of(names):
+    return [F.bool_or(n).alias(n) for n in names]
 
 
 def ui_verdict():
@@ -135,15 +128,15 @@ def ui_verdict():
     return suffix | by_text | folder
 
 
-def job_mark(text="content"):
-    return F.bool_or(guarded(F.col(text), F.col("_low"), T.BACKGROUND_PATTERNS)).alias("has_jobs")
+def file_facts(rows: DataFrame, text="content", lines_of_code=None) -> DataFrame:
+    """Per file: user interface, background jobs and lines of code, in one pass.
 
-
-def file_facts(rows: DataFrame, text="content", *more) -> DataFrame:
-    """Per file: user interface, background jobs and further aggregates, in one pass."""
-    grouped = with_low(rows, text).groupBy("project_id", "path", "language").agg(*ui_marks(text), job_mark(text), *more)
-    names = [c for c in grouped.columns if c not in {"ui_text", "html_text", "script_text", "browser", "server"} and not c.startswith("tag_")]
-    return grouped.select(*names, ui_verdict().alias("has_ui"))
+    ``lines_of_code`` is the number a row of text adds.
+    """
+    keys = ["project_id", "path", "language"]
+    marked = with_marks(rows, text, *keys, lines_of_code.alias("lines_of_code"))
+    grouped = marked.groupBy(*keys).agg(*_any_of([*UI_MARKS, "has_jobs"]), F.sum("lines_of_code").cast("bigint").alias("lines_of_code"))
+    return grouped.select(*keys, "lines_of_code", "has_jobs", ui_verdict().alias("has_ui"))
 
 
 def ui_packages(files: DataFrame, text="content") -> DataFrame:
@@ -159,7 +152,7 @@ def ui_packages(files: DataFrame, text="content") -> DataFrame:
 
 def has_ui_components(files: DataFrame, text="content") -> DataFrame:
     """Per project: does it have a user interface?"""
-    per_file = with_low(files, text).groupBy("project_id", "path").agg(*ui_marks(text))
+    per_file = with_marks(files, text, "project_id", "path").groupBy("project_id", "path").agg(*_any_of(UI_MARKS))
     per_project = per_file.groupBy("project_id").agg(F.bool_or(ui_verdict()).alias("_files"))
     return per_project.join(ui_packages(files, text), "project_id", "left").select(
         "project_id", (F.col("_files") | F.coalesce("by_package", F.lit(False))).alias("has_ui")
@@ -168,7 +161,7 @@ def has_ui_components(files: DataFrame, text="content") -> DataFrame:
 
 def has_background_jobs(files: DataFrame, text="content") -> DataFrame:
     """Per project: does any text show background work?"""
-    return with_low(files, text).groupBy("project_id").agg(job_mark(text))
+    return with_marks(files, text, "project_id").groupBy("project_id").agg(*_any_of(["has_jobs"]))
 
 
 def applies():

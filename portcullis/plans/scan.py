@@ -59,8 +59,7 @@ def summarize(scores: DataFrame) -> DataFrame:
 
 def line_facts(lines: DataFrame) -> DataFrame:
     """Facts of the files of a line table."""
-    loc = F.count_if(~is_blank("line")).alias("lines_of_code")
-    return T.file_facts(lines, "line", loc)
+    return T.file_facts(lines, "line", F.when(is_blank("line"), 0).otherwise(1))
 
 
 def _scan(facts, lines, rules, compat, gates):
@@ -97,8 +96,7 @@ def scan_files(
         of_used = lambda df: df.join(used, ["project_id", "language"], "left_semi")
     else:
         of_used = lambda df: df.where(F.col("language").isin(languages))
-    loc = F.max(G.lines_of_code("content")).alias("lines_of_code")
-    facts = L.first_files(T.file_facts(of_used(kept), "content", loc), cap)
+    facts = L.first_files(T.file_facts(of_used(kept), "content", G.lines_of_code("content")), cap)
     packages = T.ui_packages(files)
     facts = facts.join(packages, "project_id", "left").withColumn(
         "has_ui", F.col("has_ui") | F.coalesce("by_package", F.lit(False))
