@@ -695,6 +695,25 @@ SELECT project_id, CASE WHEN overall_score >= 80 THEN 'HIGH' WHEN overall_score
     CASE WHEN len(recommendations) > 0 THEN concat('RECOMMENDATIONS:', {LF}, array_to_string(list_transform(recommendations[1:3], lambda r, i: concat(i, '. ', r)), {LF}), {LF}, {LF}) ELSE '' END) AS comment
 FROM overall JOIN project_totals USING (project_id) JOIN findings USING (project_id)
 JOIN (SELECT project_id, count(*) FILTER (WHERE status = 'PASS') AS ok, count(*) FILTER (WHERE status IN ('FAIL', 'FAILED')) AS bad, count(*) FILTER (WHERE applicable) AS n FROM final GROUP BY 1) USING (project_id)""")
+SIGN = "CASE status WHEN 'PASS' THEN '✅' WHEN 'WARNING' THEN '⚠️' WHEN 'FAIL' THEN '❌' WHEN 'FAILED' THEN '❌' WHEN 'NOT_APPLICABLE' THEN '🚫' ELSE '❓' END"
+_bars = "concat('| ', " + "list_aggregate(list_transform(string_split(gate, '_'), lambda w: concat(upper(w[1]), w[2:])), 'string_agg', ' ')" + f", ' | ', {SIGN}, ' ', status, ' | ', format('{{:.1f}}', final_score), '% | ', format('{{:.1f}}', coverage), '% |')"
+T["category_dim"] = "SELECT * FROM (VALUES " + rows((c, i) for i, c in enumerate(D.CATEGORIES)) + ") v(gate_category, category_ord)"
+T["category_tables"] = f"""
+SELECT project_id, category_ord, concat('#### ', gate_category, {LF}, {LF}, '| Gate | Status | Score | Coverage |', {LF}, '|------|--------|-------|----------|', {LF}, string_agg({_bars}, {LF} ORDER BY f.gate_ord)) AS t
+FROM final f JOIN (SELECT gate, gate_category FROM gate_dim) USING (gate) JOIN category_dim USING (gate_category) GROUP BY project_id, category_ord, gate_category"""
+oracle("r5_issue_comment_markdown", f"""
+SELECT project_id, CASE WHEN overall_score >= 80 THEN 'HIGH' WHEN overall_score >= 60 THEN 'MODERATE' ELSE 'LOW' END AS compliance,
+  concat('## 🛡️ Hard Gate Assessment Report', {LF}, {LF}, '**Generated:** 2024-01-01 00:00:00', {LF}, {LF}, '---', {LF}, {LF}, '### 📊 Executive Summary', {LF}, {LF}, '| Metric | Value |', {LF}, '|--------|-------|', {LF},
+    '| **Overall Score** | **', format('{{:.1f}}', overall_score), '%** |', {LF}, '| Total Gates | ', n, ' |', {LF}, '| ✅ Implemented | ', ok, ' |', {LF}, '| ⚠️ Partial | ', mid, ' |', {LF}, '| ❌ Failed | ', bad, ' |', {LF},
+    '| 🚫 Not Applicable | ', na, ' |', {LF}, '| Files Analyzed | ', total_files, ' |', {LF}, '| Lines of Code | ', format('{{:,}}', total_lines), ' |', {LF}, {LF},
+    CASE WHEN overall_score >= 80 THEN '🟢 **HIGH COMPLIANCE** - Excellent gate coverage' WHEN overall_score >= 60 THEN '🟡 **MODERATE COMPLIANCE** - Some improvements needed' ELSE '🔴 **LOW COMPLIANCE** - Significant improvements required' END,
+    {LF}, {LF}, '### 🔍 Gate Details', {LF}, {LF}, details, {LF}, {LF},
+    CASE WHEN len(recommendations) > 0 THEN concat('### 💡 Recommendations', {LF}, {LF}, array_to_string(list_transform(recommendations[1:5], lambda r, i: concat(i, '. ', r)), {LF}), {LF}, {LF}) ELSE '' END,
+    CASE WHEN len(critical_issues) > 0 THEN concat('### ⚠️ Critical Issues', {LF}, {LF}, array_to_string(list_transform(critical_issues, lambda r: concat('- 🚨 ', r)), {LF}), {LF}, {LF}) ELSE '' END, '---', {LF}) AS comment
+FROM overall JOIN project_totals USING (project_id) JOIN findings USING (project_id)
+JOIN (SELECT project_id, string_agg(t, {LF} || {LF} ORDER BY category_ord) AS details FROM category_tables GROUP BY 1) USING (project_id)
+JOIN (SELECT project_id, count(*) AS n, count(*) FILTER (WHERE status = 'PASS') AS ok, count(*) FILTER (WHERE status = 'WARNING') AS mid, count(*) FILTER (WHERE status IN ('FAIL', 'FAILED')) AS bad,
+        count(*) FILTER (WHERE NOT applicable) AS na FROM final GROUP BY 1) USING (project_id)""")
 oracle("r6_report_listing", """
 SELECT scan_id, file_name, size, modified, CASE WHEN size < 1024 THEN concat(size, ' B') WHEN size < 1048576 THEN concat(format('{:.1f}', size / 1024), ' KB') ELSE concat(format('{:.1f}', size / 1048576), ' MB') END AS size_text,
   coalesce(status, 'unknown') AS status, round(score, 6) AS score FROM saved LEFT JOIN runs USING (scan_id)""")
@@ -755,6 +774,20 @@ SELECT project_id, gate, position, sample, running_chars FROM (SELECT *, {big('s
   (SELECT source AS project_id, 'error_logs' AS gate, doc_id AS position, CASE WHEN length(text) > 2000 THEN concat(substr(text, 1, 2000), '... [truncated]') ELSE text END AS sample FROM documents
    QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10)) WHERE running_chars <= 15000""")
 T["answers"] = ANSWER_SQL
+T["gate_totals"] = f"""
+SELECT project_id, gate, {big('sum(expected)')} AS e, {big('sum(found)')} AS n FROM lang_results GROUP BY 1, 2"""
+T["grade_lines"] = f"""
+SELECT project_id, gate, string_agg(concat('- ', severity, ': ', c, ' issues'), {LF} ORDER BY severity) AS grades FROM (SELECT project_id, gate, severity, count(*) AS c FROM named GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+T["shown_samples"] = f"""
+SELECT project_id, gate, string_agg(concat(no, '. File: ', path, ', Line: ', line_no, {LF}, '   Code: ', matched_text, {LF}, '   Severity: ', severity, ', Function: ', function_name), {LF} ORDER BY no) AS texts
+FROM (SELECT *, row_number() OVER (PARTITION BY project_id, gate ORDER BY language, path, line_no, ord) AS no FROM named QUALIFY no <= 5) GROUP BY 1, 2"""
+T["shares"] = "SELECT *, CASE WHEN e > 0 THEN CAST(n AS DOUBLE) / e * 100 ELSE 0.0 END AS share FROM gate_totals"
+oracle("x4_gate_prompts", f"""
+SELECT project_id, gate, concat('Gate: ', gate, {LF}, 'Coverage: ', n, '/', e, ' patterns found (', p, '% coverage)', {LF}, 'Status: ',
+    CASE WHEN CAST(p AS DOUBLE) >= 80 THEN 'PASS' WHEN CAST(p AS DOUBLE) < 60 THEN 'FAIL' ELSE 'WARNING' END,
+    {LF}, {LF}, 'Severity Distribution:', {LF}, coalesce(grades, ''), {LF}, {LF}, 'Sample Code Patterns Found:', {LF}, coalesce(texts, ''), {LF}, {LF},
+    'Give 3 to 5 specific, actionable recommendations as a JSON object {{"quality_score": <0-100>, "recommendations": [...]}}.') AS prompt
+FROM (SELECT *, format('{{:.1f}}', share) AS p FROM shares) LEFT JOIN grade_lines USING (project_id, gate) LEFT JOIN shown_samples USING (project_id, gate)""")
 oracle("x5_parse_model_response", f"""
 SELECT a.event_id, {r6("CASE e.event_type WHEN 'view' THEN floor(e.value * 100) WHEN 'click' THEN floor(e.value) + 0.5 ELSE 50.0 END")} AS quality_score,
   CASE e.event_type WHEN 'view' THEN 'use view | log more' WHEN 'click' THEN 'first of click | second' ELSE '' END AS recommendations FROM answers a JOIN events e USING (event_id)""")

@@ -885,7 +885,7 @@ def x3_budget_samples(spark, sf):
 
 @query
 def x4_gate_prompts(spark, sf):
-    return X.gate_prompts(X.prompt_context(full(spark, sf), results(spark, sf)))
+    return X.gate_prompts(X.prompt_context(full(spark, sf), results(spark, sf))).select("project_id", "gate", "prompt")
 
 
 @query

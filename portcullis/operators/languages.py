@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..dims.languages import CLASSIFY_CHARS, CONTENT_PATTERNS, LANGUAGE_ORD, LANGUAGES, MANIFESTS, SCORE_CHARS
-from .filters import prune_dirs as prune  # noqa: F401
 from ..functions.patterns import PLAIN
 from ..functions.ranking import top_per
 from ..functions.tables import computed_once, fixed_table
@@ -22,13 +21,16 @@ def _hits(head, patterns):
 
 def file_language(files: DataFrame) -> DataFrame:
     """Language by suffix, else by two signs of a language in the first 1024 characters."""
-    head = F.substring("content", 1, CLASSIFY_CHARS)
+    # The head is a column of its own, so that it is cut once and not once per pattern.
+    headed = files.withColumn("_head", F.substring("content", 1, CLASSIFY_CHARS))
+    head = F.col("_head")
     guess = F.coalesce(
         *[F.when(_hits(head, patterns) >= 2, F.lit(lang)) for lang, patterns in CONTENT_PATTERNS.items()]
     )
     known = known_language()
     # ``when`` keeps the content tests away from files with a known suffix.
-    return computed_once(files, "language", F.when(known.isNotNull(), known).otherwise(guess))
+    named = computed_once(headed, "language", F.when(known.isNotNull(), known).otherwise(guess))
+    return named.drop("_head")
 
 
 def content_hits(language="language", content="content"):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..dims.gates import GATE_ORD
 from ..functions.text import is_blank, lookup
 from ..operators import gates as G, languages as L, matching as M, scoring as A, technology as T
-from ..operators.filters import exclude_paths, include_paths, max_file_size
+from ..operators.filters import exclude_paths, include_paths, max_file_size, prune_dirs
 from ..sources.files import explode_lines, search_languages
 
 
@@ -91,7 +91,7 @@ def scan_files(
     typed = L.file_language(files)
     kept = max_file_size(exclude_paths(include_paths(typed, include), exclude), max_size)
     if languages is None:
-        detected = L.detect_languages(L.language_statistics(max_file_size(L.prune(typed))))
+        detected = L.detect_languages(L.language_statistics(max_file_size(prune_dirs(typed))))
         used = detected.select("project_id", "language")
         of_used = lambda df: df.join(used, ["project_id", "language"], "left_semi")
     else:
