@@ -40,7 +40,7 @@ def read_source_tree(
 ) -> DataFrame:
     """Files below a directory. With ``project_depth`` > 0 that many leading path parts name the project.
 
-    Give ``max_size`` to leave larger files unread: Spark then skips them by length alone.
+    Spark's file sources skip files of length 0. Give ``max_size`` to leave larger files unread: Spark then skips them by length alone.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:

@@ -30,12 +30,14 @@ def tree(tmp_path):
 def test_read_tree(spark, tree):
     files = S.read_source_tree(spark, tree, project_depth=1)
     rows = {(r.project_id, r.path): r for r in files.collect()}
-    assert ("app", "src/service.py") in rows and ("other", "Main.java") in rows and len(rows) == 8
+    assert ("app", "src/service.py") in rows and ("other", "Main.java") in rows and len(rows) == 7
     assert rows[("app", "bad.py")].content == "print(' café')\r\n"
     assert rows[("app", "bad.py")].language == "python" and rows[("app", "bad.py")].ext == ".py"
-    assert S.read_source_tree(spark, tree, max_size=20).count() == 3
+    assert {r.path for r in S.read_source_tree(spark, tree, project_depth=1, max_size=20).collect()} == {"node_modules/x/big.js", "bad.py", "requirements.txt"}
     lines = S.explode_lines(files)
-    assert lines.where("path = 'empty.py'").collect()[0].line == ""
+    empty = spark.createDataFrame([("p", "empty.py", "")], "project string, path string, text string")
+    (line,) = S.explode_lines(S.files_from_table(empty, "project", "path", "text")).collect()
+    assert (line.line_no, line.line, line.language) == (1, "", "python")
     assert [r.line for r in lines.where("path = 'bad.py'").orderBy("line_no").collect()] == ["print(' café')\r", ""]
 
 
@@ -46,7 +48,7 @@ def test_scan_tree(spark, tree):
     assert found[("app", "avoid_logging_secrets")] > 0
     status = {(r.project_id, r.gate): r.status for r in scan.scores.collect()}
     assert status[("app", "avoid_logging_secrets")] == "FAIL" and status[("app", "ui_errors")] == "NOT_APPLICABLE"
-    assert {r.project_id: r.total_files for r in scan.summary.collect()} == {"app": 4, "other": 1}
+    assert {r.project_id: r.total_files for r in scan.summary.collect()} == {"app": 3, "other": 1}
 
 
 def test_detection(spark, tree):
