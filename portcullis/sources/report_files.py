@@ -112,7 +112,7 @@ def _result():
     )
 
 
-def sarif_documents(results: DataFrame, tool="Hard Gate Analyzer", version="1.0.0") -> DataFrame:
+def sarif_documents(results: DataFrame, tool="Portcullis", version="1.0.0") -> DataFrame:
     """Complete documents, one per project, file and block of lines, so no document gathers a whole project."""
     block = F.floor(F.col("start_line") / BLOCK)
     grouped = results.withColumn("_result", _result()).groupBy("project_id", "uri", block.alias("block")).agg(
