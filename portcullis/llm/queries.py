@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portcullis.llm import sharding, url_rules
-from portcullis.llm.common import table
+from portcullis.llm import bpe, decontamination, fingerprints, language_id, sharding, token_files, toxicity, url_rules
+from portcullis.llm.common import id_remainder, saved, shared_dir, table
+
+#: The id that ends each document in token files.
+END_ID = 2
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file of the public tokenizers on each machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
 
@@ -29,6 +42,67 @@ def op1_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.select("doc_id", "slot", "shard", "shard_after_loss")
 
 
+def op3_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the three quarters of documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", id_remainder(F.col("doc_id"), 4) == 2)
+    profiles = language_id.prototypes(docs.where(~F.col("held_out")), "text", "lang")
+    return language_id.identify(docs, "text", profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside passages of the benchmark, and the items they come from."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.contamination(docs.select("doc_id", "text"), items.select("item_id", "text"), "doc_id", "text", "item_id", "text")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from the labels of four fifths of the documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", id_remainder(F.col("doc_id"), 5) == 0)
+    model = toxicity.train_on_labels(docs, table(spark, sf_dir, "labels"), F.col("held_out"))
+    return toxicity.score(docs, "text", model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, size and checksum in token files that are written and read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_files(token_files.blocks_of(docs, "doc_id", "text", tokenizer_path(), END_ID), path)
+    return token_files.read_files(spark, path)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text decoded from them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, "text", tokenizer_path()).drop("text")
+
+
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and their likeness.
+
+    The edited text ends with the beginning of the next document in descending order of doc_id. Texts are shuffled by
+    id once for the document itself and once more as far as the next one lends them.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    lists = saved(fingerprints.lexicon(docs, "text"), "lexicon")
+    own = saved(fingerprints.with_fingerprints(docs, "text", lists).select("doc_id", F.length("text").cast("long").alias("n_chars"), "fingerprint"), "fingerprints")
+    order = fingerprints.successors(own)
+    following = own.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint"))
+    ring = saved(own.join(order, "doc_id").join(following, "next_id"), "ring")
+    lent = docs.join(ring.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to"), F.floor(F.col("n_chars") / 2).cast("int").alias("half")), "doc_id")
+    lent = lent.select(F.col("to").alias("doc_id"), F.expr("left(text, half)").alias("tail"))
+    whole = docs.join(lent, "doc_id").select("doc_id", F.expr("concat(left(text, cast(length(text) - floor(length(text) / 2) as int)), tail)").alias("edited"))
+    edited = fingerprints.with_fingerprints(whole, "edited", lists, "edited_fingerprint").withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+    return ring.join(edited, "doc_id").select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
+        fingerprints.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        fingerprints.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host and path with the rule that decides and the verdict."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -37,7 +111,13 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_shard_placement": op1_shard_placement,
+    "op3_language_profiles": op3_language_profiles,
+    "op5_decontamination": op5_decontamination,
+    "op6_toxicity": op6_toxicity,
+    "op7_token_files": op7_token_files,
+    "op8_bpe": op8_bpe,
     "op9_url_rules": op9_url_rules,
+    "op10_imatch": op10_imatch,
 }
 
 
@@ -83,7 +163,27 @@ def _url_rules_sql() -> str:
         SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM split s LEFT JOIN fit f USING (page_id)"""
 
 
+def _decontamination_sql() -> str:
+    words = """list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"""
+    return f"""
+        WITH d AS (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT item_id, {words} AS w FROM benchmark),
+        sizes AS (SELECT DISTINCT least(len(w), 10) AS size FROM b WHERE len(w) > 0),
+        windows AS (SELECT item_id, least(len(w), 10) AS size, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS gram
+                    FROM b WHERE len(w) > 0),
+        places AS (SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS pos, w FROM d, sizes WHERE len(w) >= size),
+        grams AS (SELECT doc_id, size, pos, array_to_string(w[pos:pos + size - 1], ' ') AS gram FROM places),
+        met AS (SELECT DISTINCT g.doc_id, g.pos, g.size, x.item_id FROM grams g JOIN windows x ON x.size = g.size AND x.gram = g.gram),
+        hit AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS word FROM met) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+                  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY doc_id)
+        SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
 ORACLES = {
+    "op5_decontamination": _decontamination_sql(),
     "op1_shard_placement": _sharding_sql(),
     "op9_url_rules": _url_rules_sql(),
 }
