@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portcullis.llm import bpe, decontamination, fingerprints, language_id, sharding, token_files, toxicity, url_rules
+from portcullis.llm import bpe, decontamination, fingerprints, language_id, pii, sharding, token_files, toxicity, url_rules
 from portcullis.llm.common import id_remainder, saved, shared_dir, table
 
 #: The id that ends each document in token files.
@@ -42,6 +42,16 @@ def op1_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.select("doc_id", "slot", "shard", "shard_after_loss")
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: counts and digest of the base patterns, and all spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.with_spans(docs, "text", pii.learn(docs, "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op3_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from the three quarters of documents that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", id_remainder(F.col("doc_id"), 4) == 2)
@@ -111,6 +121,7 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_shard_placement": op1_shard_placement,
+    "op2_personal_data": op2_personal_data,
     "op3_language_profiles": op3_language_profiles,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
