@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portcullis.llm import bpe, decontamination, fingerprints, language_id, pii, sharding, token_files, toxicity, url_rules
+from portcullis.llm import bpe, decontamination, fingerprints, jaccard_join, language_id, pii, sharding, token_files, toxicity, url_rules
 from portcullis.llm.common import id_remainder, saved, shared_dir, table
 
 #: The id that ends each document in token files.
@@ -59,6 +59,11 @@ def op3_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, "text", profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near duplicates."""
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words inside passages of the benchmark, and the items they come from."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -123,6 +128,7 @@ QUERIES = {
     "op1_shard_placement": op1_shard_placement,
     "op2_personal_data": op2_personal_data,
     "op3_language_profiles": op3_language_profiles,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_token_files": op7_token_files,
