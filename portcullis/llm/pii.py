@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -164,8 +165,6 @@ class Model:
 
 def _posterior(model_prior: float, reliability: list, ballot: Column) -> Column:
     """The probability that a candidate with these votes is personal data."""
-    import math
-
     logit = F.lit(math.log(model_prior / (1 - model_prior)))
     for i in range(LABELERS):
         odds = [math.log(reliability[i][1][v] / reliability[i][0][v]) for v in range(3)]
@@ -173,37 +172,41 @@ def _posterior(model_prior: float, reliability: list, ballot: Column) -> Column:
     return 1 / (1 + F.exp(-logit))
 
 
+def _posterior_of(prior: float, reliability: list, ballot: tuple) -> float:
+    """The same for one ballot outside Spark."""
+    odds = prior / (1 - prior) * math.prod(reliability[i][1][v] / reliability[i][0][v] for i, v in enumerate(ballot))
+    return odds / (1 + odds)
+
+
 def learn(docs: DataFrame, text: str, rounds: int = 8) -> Model:
     """Estimates the labelers' reliabilities by expectation-maximisation and trains the classifier on the result.
 
     All candidates of all texts are counted by votes and features; both take a bounded number of values, so the table
-    of counts is small however many candidates there are. Each round is one sum over that table. The classifier is naive
+    of counts is small however many candidates there are. The rounds run over the counts
+    of the votes alone, a few hundred numbers. The classifier is naive
     Bayes on the features, trained on the votes' posterior as soft labels. Without candidates the start values stay.
     """
     found = with_candidates(docs.select(F.col(text).alias("text")), "text").select(F.explode("_candidates").alias("c"))
     counts = saved(
         found.select(votes(F.col("c")).alias("votes"), _features(F.col("c")).alias("cells")).groupBy("votes", "cells").agg(F.count(F.lit(1)).cast("double").alias("n")), "votes"
     )
-    ballots = saved(counts.groupBy("votes").agg(F.sum("n").alias("n")), "ballots")
+    ballots = {tuple(r["votes"]): r["n"] for r in counts.groupBy("votes").agg(F.sum("n").alias("n")).collect()}  # at most 3 ** LABELERS rows
     prior, reliability = 0.5, [[[0.6, 0.25, 0.15], [0.1, 0.3, 0.6]] for _ in range(LABELERS)]
-    for _ in range(rounds):
-        weighed = once(ballots, votes=F.col("votes"), n=F.col("n"), yes=F.col("n") * _posterior(prior, reliability, F.col("votes")))
-        sums = {"all": F.sum("n"), "yes": F.sum("yes")}
-        for i in range(LABELERS):
-            for v in range(3):
-                voted = F.get("votes", F.lit(i)) == v
-                sums[f"n{i}{v}"], sums[f"y{i}{v}"] = F.sum(F.when(voted, F.col("n")).otherwise(0)), F.sum(F.when(voted, F.col("yes")).otherwise(0))
-        got = weighed.agg(*(s.alias(k) for k, s in sums.items())).first()
-        if not got["all"]:
-            break
-        yes, no = got["yes"], got["all"] - got["yes"]
-        prior = min(max(yes / got["all"], 0.01), 0.99)
+    everything = sum(ballots.values())
+    for _ in range(rounds if ballots else 0):
+        yes = {ballot: n * _posterior_of(prior, reliability, ballot) for ballot, n in ballots.items()}
+        all_yes = sum(yes.values())
+        prior = min(max(all_yes / everything, 0.01), 0.99)
+        voted = lambda table, i, v: sum(n for ballot, n in table.items() if ballot[i] == v)
         reliability = [
-            [[(got[f"n{i}{v}"] - got[f"y{i}{v}"] + 1) / (no + 3) for v in range(3)], [(got[f"y{i}{v}"] + 1) / (yes + 3) for v in range(3)]] for i in range(LABELERS)
+            [
+                [(voted(ballots, i, v) - voted(yes, i, v) + 1) / (everything - all_yes + 3) for v in range(3)],
+                [(voted(yes, i, v) + 1) / (all_yes + 3) for v in range(3)],
+            ]
+            for i in range(LABELERS)
         ]
+    # The classifier's counts: how much of each feature cell is personal data by the votes.
     soft = counts.select(F.explode("cells").alias("cell"), "n", (F.col("n") * _posterior(prior, reliability, F.col("votes"))).alias("yes"))
-    import math
-
     odds = [0.0] * FEATURE_CELLS
     by_cell = {r["cell"]: (r["yes"], r["n"]) for r in soft.groupBy("cell").agg(F.sum("yes").alias("yes"), F.sum("n").alias("n")).collect()}  # at most FEATURE_CELLS rows
     total = max(sum(n for _, n in by_cell.values()), 1.0)
@@ -215,8 +218,6 @@ def learn(docs: DataFrame, text: str, rounds: int = 8) -> Model:
 
 def probability(c: Column, model: Model) -> Column:
     """The classifier's probability that a candidate is personal data."""
-    import math
-
     table = F.array(*map(F.lit, model.odds))
     return 1 / (1 + F.exp(-F.aggregate(_features(c), F.lit(math.log(model.prior / (1 - model.prior))), lambda a, cell: a + F.get(table, cell))))
 
