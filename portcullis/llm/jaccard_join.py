@@ -42,14 +42,20 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(total.view(np.int64))
 
 
-def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _class_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The size of each text's set and a key of its elements, null for the empty set."""
     for batch in batches:
-        keys, sizes, prefixes = [], [], []
-        for text in batch.column(1).to_pylist():
-            own = shingles(text)
-            keys.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-            sizes.append(len(own))
-            prefixes.append(own[: len(own) - int(LEFT_OUT * len(own))])
+        found = [shingles(t) for t in batch.column(1).to_pylist()]
+        keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array([len(x) for x in found], pa.int64())], ["doc_id", "set_key", "n"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same with each set's first prefix."""
+    for batch in batches:
+        found = [shingles(t) for t in batch.column(1).to_pylist()]
+        keys, sizes = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in found], [len(x) for x in found]
+        prefixes = [x[: len(x) - int(LEFT_OUT * len(x))] for x in found]
         offsets = np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32)
         values = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
@@ -136,14 +142,13 @@ def _need_checks(group: pd.DataFrame) -> pd.DataFrame:
     documents are joined already, or if they share no prefix token under one of the other orders.
     """
     out = []
-    for key, g in group.groupby(["block", "tile"], sort=False):
+    for _, g in group.groupby(["block", "tile"], sort=False):
         if g.comp.nunique() < 2:
             continue
-        kept = [np.asarray(x, np.int64) for x in g.kept]
         need = g.comp.to_numpy()[:, None] != g.comp.to_numpy()[None, :]
         n = g.n.to_numpy()
         need &= (100 * np.minimum(n[:, None], n[None, :])) >= PERCENT * np.maximum(n[:, None], n[None, :])
-        earlier = _incidence([k[k < key[0]] for k in kept])
+        earlier = _incidence([np.asarray(x, np.int64) for x in g.earlier])
         need &= (earlier @ earlier.T) == 0
         for column in ("other0", "other1"):
             shared = _incidence([np.asarray(x, np.int64) for x in g[column]])
@@ -210,7 +215,8 @@ def _links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame] | No
     alive = saved(lists.where(F.size("tokens") >= F.col("least")), "alive")
     again = alive.select("doc_id", "n", "least", F.explode("tokens").alias("token"))
     often = again.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    ranked = again.join(often, "token").groupBy("doc_id", "n", "least").agg(F.collect_list(F.struct("often", "token")).alias("t")).where(F.size("t") >= F.col("least"))
+    ranked = again.select("doc_id", "token").join(often, "token").groupBy("doc_id").agg(F.collect_list(F.struct("often", "token")).alias("t"))
+    ranked = ranked.join(alive.select("doc_id", "n", "least"), "doc_id").where(F.size("t") >= F.col("least"))
     # Three global orders of the tokens: by frequency, then by two hashes; of each the first tokens are kept that any
     # two documents with so many shared ones must have one of in common.
     first = F.size("t") - F.col("least").cast("int") + 1
@@ -247,8 +253,11 @@ def _links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame] | No
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn(
         "tile", (F.least("mine", "other") * F.col("tiles") + F.greatest("mine", "other")).cast("long")
     )
-    packed = docs_kept.select("doc_id", "n", "kept", "other0", "other1")
-    rows = tiled.select("block", "tile", "doc_id", "comp").join(packed, "doc_id")
+    # Short hashes will do for the other orders: equal ones by chance only let a pair pass to its exact comparison.
+    short = lambda c: F.transform(c, lambda t: F.hash(t)).alias(c)
+    packed = docs_kept.select("doc_id", "n", "kept", short("other0"), short("other1"))
+    earlier = F.filter("kept", lambda t: t < F.col("block")).alias("earlier")
+    rows = tiled.select("block", "tile", "doc_id", "comp").join(packed, "doc_id").select("block", "tile", "doc_id", "comp", "n", earlier, "other0", "other1")
     bins = max(1, tiled.count() // 20_000)
     grouped = lambda df, count: df.withColumn("bin", F.pmod(F.xxhash64("block", "tile"), F.lit(count)))
     due = saved(grouped(rows, bins).groupBy("bin").applyInPandas(_need_checks, "block long, tile long, doc_id long, comp long"), "due")
@@ -269,8 +278,9 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     document frequency among what is left, then by two more hashes. All pairs that pass are decided by their whole sets.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    first = saved(rows.mapInArrow(_first_pass, "doc_id long, set_key binary, n long, prefix array<long>"), "first")
-    reps = first.where("n > 0").groupBy("set_key", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"))
+    # Prefixes are made once more where they are needed: that takes less than to keep them.
+    first = saved(rows.mapInArrow(_class_keys, "doc_id long, set_key binary, n long"), "first")
+    reps = rows.mapInArrow(_prefixes, "doc_id long, set_key binary, n long, prefix array<long>").where("n > 0").groupBy("set_key", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"))
     found = _links(rows, reps)
     classes = saved(first.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     members = first.select("doc_id", "set_key", "n").join(classes, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
