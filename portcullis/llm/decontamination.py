@@ -50,10 +50,9 @@ def _pieces(df: DataFrame, key: str, text: str, short_sizes: list[int]) -> DataF
     """Rows (key, words, size, hash, place): winnowed grams with size 0, and all grams of each short size."""
     rows = once(df, key=F.col(key), words=words_of(F.col(text)))
     kinds = [F.transform(_winnowed(F.col("words")), lambda x: F.struct(F.lit(0).alias("size"), x["hash"].alias("hash"), x["place"].alias("place")))]
-    for size in short_sizes:
-        kinds.append(
-            F.transform(_grams(F.col("words"), size), lambda h, i, size=size: F.struct(F.lit(size).alias("size"), h.alias("hash"), i.alias("place")))
-        )
+    for n in short_sizes:
+        grams = F.transform(_grams(F.col("words"), n), lambda h, i: F.struct(h.alias("hash"), i.alias("place")))
+        kinds.append(F.transform(grams, lambda g: F.struct(F.lit(n).alias("size"), g["hash"].alias("hash"), g["place"].alias("place"))))  # noqa: B023  called at once
     return rows.select("key", "words", F.explode(F.concat(*kinds)).alias("piece")).select("key", "words", "piece.*")
 
 

@@ -29,7 +29,7 @@ class Machine:
     def logits(self, cells: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Of rows whose distinct cells lie one after the other in cells; rows without terms get the bias."""
         row = np.repeat(np.arange(len(sizes)), sizes)
-        total = np.bincount(row, self.weights[cells], minlength=len(sizes))
+        total = np.bincount(row, self.weights[cells], minlength=len(sizes)).astype(float)  # whole numbers where there are no cells
         for k in range(self.factors.shape[1]):
             v = self.factors[cells, k]
             total += 0.5 * (np.bincount(row, v, minlength=len(sizes)) ** 2 - np.bincount(row, v * v, minlength=len(sizes)))
