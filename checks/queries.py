@@ -681,7 +681,7 @@ def a19_feasibility(spark, sf):
 
 @query
 def w1_first_files(spark, sf):
-    files = C.tree_files(spark, sf).where("path LIKE '%/%'")
+    files = C.tree_files(spark, sf)
     return L.first_files(files.where("language IS NOT NULL"), 20).select("project_id", "language", "path")
 
 
@@ -796,7 +796,7 @@ def r8_comments_hash(spark, sf):
 
 
 def issue_table(spark, sf):
-    found = described(spark, sf, "timeouts", "error_logs", "retry_logic", "throttling")
+    found = described(spark, sf)
     listed = found.select("project_id", "gate", "path", "line_no", F.col("column_start").alias("column_no"), F.col("matched_text").alias("message"))
     return R.issues(scores(spark, sf), listed)
 

@@ -41,7 +41,8 @@ def include_paths(files: DataFrame, patterns, path="path") -> DataFrame:
 
 
 def max_file_size(files: DataFrame, limit=1024 * 1024) -> DataFrame:
-    return files.where(F.col("size") <= limit)
+    """Files of at most ``limit`` bytes; ``None`` keeps all."""
+    return files if limit is None else files.where(F.col("size") <= limit)
 
 
 def prune_dirs(files: DataFrame, names=SKIPPED_DIRS) -> DataFrame:

@@ -25,15 +25,16 @@ def guarded_rules(spark, rules=None) -> DataFrame:
 
 
 def j1_lines_rules(lines: DataFrame, guarded: DataFrame) -> DataFrame:
-    """Lines with rules of their language whose pattern occurs, as a broadcast join.
+    """Lines with rules of their language whose pattern occurs, as a join.
 
     For rule tables that are only known as DataFrames. The guard text is tested first, since a pattern
-    from a column is compiled per pair. ``search_lines`` is the faster form.
+    from a column is compiled per pair. Spark decides by the table's size whether it is sent to all lines.
+    ``search_lines`` is the faster form.
     """
     r = guarded.withColumnRenamed("rule_language", "language")
     test = F.col("_low").contains(F.col("guard")) & F.rlike("line", F.concat(F.lit(IGNORE_CASE), F.col("pattern")))
     low = lines.withColumn("_low", folded("line"))
-    return low.join(F.broadcast(r), (low["language"] == r["language"]) & test).drop(r["language"]).drop("_low", "guard")
+    return low.join(r, (low["language"] == r["language"]) & test).drop(r["language"]).drop("_low", "guard")
 
 
 def j2_language_rules(languages: DataFrame, rules=None) -> DataFrame:

@@ -134,6 +134,6 @@ def language_table(spark):
     return fixed_table(spark, "language string, language_ord int", rows)
 
 
-def first_files(files: DataFrame, cap=100) -> DataFrame:
+def first_files(files: DataFrame, cap=None) -> DataFrame:
     """The first files by path per project and language; ``cap=None`` keeps all."""
     return files if cap is None else top_per(files, ["project_id", "language"], ["path"], cap).drop("rank")

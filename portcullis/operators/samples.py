@@ -142,7 +142,7 @@ def gate_prompts(context: DataFrame) -> DataFrame:
 
 
 def parse_model_response(answers: DataFrame, text="text") -> DataFrame:
-    """A model's answer: the JSON object in it, else a score and a list found in the text."""
+    """A model's answer: the JSON object in it, else a score and a list found in the text; no answer gives nulls."""
     t = col(text)
     outer = F.regexp_extract(t, r"(?s)\{.*\}", 0)
     parsed = F.from_json(F.when(outer != "", outer).otherwise(t), RESULT_SCHEMA, {"mode": "PERMISSIVE"})
@@ -157,12 +157,13 @@ def parse_model_response(answers: DataFrame, text="text") -> DataFrame:
     out = answers.withColumn("_json", parsed).withColumn("is_json", is_json)
     return out.withColumn(
         "quality_score",
-        F.when(F.col("is_json"), F.coalesce("_json.quality_score", F.lit(50.0))).otherwise(
+        F.when(t.isNull(), None).when(F.col("is_json"), F.coalesce("_json.quality_score", F.lit(50.0))).otherwise(
             F.coalesce(F.nullif(score, F.lit("")).cast("double"), F.lit(50.0))
         ),
     ).withColumn(
         "recommendations",
-        F.when(F.col("is_json"), F.coalesce("_json.recommendations", none))
+        F.when(t.isNull(), None)
+        .when(F.col("is_json"), F.coalesce("_json.recommendations", none))
         .when(section != "", F.slice(lines, 1, 5))
         .otherwise(none),
     ).drop("_json")
@@ -236,18 +237,22 @@ def apply_enhancement(scores: DataFrame, enhanced: DataFrame) -> DataFrame:
 def score_with(prompts: DataFrame, fn, schema="project_id string, gate string, answer string") -> DataFrame:
     """Lets a user function answer batches of prompts on the executors.
 
-    ``fn`` takes a list of prompts and returns a list of answers. A failing batch yields nulls, so that
-    ``fallback_quality`` can take over.
+    ``fn`` takes a list of prompts and returns a list of answers. A batch that fails is asked
+    again prompt by prompt; a prompt that fails by itself has a null answer, and parsing keeps it null, so that the
+    pattern score stays and ``fallback_quality`` can take over.
     """
 
+    def asked(some):
+        try:
+            got = list(fn(some))
+            if len(got) == len(some):
+                return got
+        except Exception:  # the model is outside our control
+            pass
+        return [None] if len(some) == 1 else [a for one in some for a in asked([one])]
+
     def answer(batches):
         for batch in batches:
-            try:
-                got = list(fn(batch["prompt"].tolist()))
-                if len(got) != len(batch):
-                    raise ValueError("one answer per prompt is needed")
-            except Exception:  # the model is outside our control
-                got = [None] * len(batch)
-            yield batch[["project_id", "gate"]].assign(answer=got)
+            yield batch[["project_id", "gate"]].assign(answer=asked(batch["prompt"].tolist()))
 
     return prompts.select("project_id", "gate", "prompt").mapInPandas(answer, schema)

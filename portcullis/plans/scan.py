@@ -70,28 +70,30 @@ def _scan(facts, lines, rules, compat, gates):
     return Scan(results, scores.select(*SCORE_COLUMNS), summarize(scores))
 
 
-def scan_lines(lines: DataFrame, rules=None, compat=False, gates=None, cap=100) -> Scan:
+def scan_lines(lines: DataFrame, rules=None, compat=False, gates=None, cap=None) -> Scan:
     """Scores every project of a line table (project_id, path, language, line_no, line).
 
-    ``cap`` limits the files per language that expected counts are based on; the search sees all lines.
+    Expected counts are based on all files; ``cap`` limits them to so many files per language. The search sees all
+    lines in either case.
     """
     return _scan(L.first_files(line_facts(lines), cap), lines, rules, compat, gates)
 
 
 def scan_files(
-    files: DataFrame, rules=None, exclude=(), include=(), max_size=1024 * 1024, languages=None, compat=False,
-    cap=100, search_scope="all",
+    files: DataFrame, rules=None, exclude=(), include=(), max_size=None, languages=None, compat=False,
+    cap=None, search_scope="all",
 ) -> Scan:
     """Scores every project of a file table.
 
-    Languages are detected per project unless given. Filters and the cap act on the file statistics;
+    Languages are detected per project unless given. Filters and, where given, ``max_size`` (bytes)
+    and ``cap`` (files per language) act on the file statistics;
     the search reads all files of the project's languages, or only the kept ones with
     ``search_scope='kept'``.
     """
     typed = L.file_language(files)
     kept = max_file_size(exclude_paths(include_paths(typed, include), exclude), max_size)
     if languages is None:
-        detected = L.detect_languages(L.language_statistics(max_file_size(prune_dirs(typed))))
+        detected = L.detect_languages(L.language_statistics(max_file_size(prune_dirs(typed), max_size)))
         used = detected.select("project_id", "language")
         of_used = lambda df: df.join(used, ["project_id", "language"], "left_semi")
     else:

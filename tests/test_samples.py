@@ -27,6 +27,18 @@ def test_failing_model(spark):
     assert sorted(r.answer for r in X.score_with(df, lambda ps: [p.upper() for p in ps]).collect()) == ["X", "Y"]
 
 
+def test_one_broken_prompt_spoils_no_other(spark):
+    def picky(prompts):
+        if "y" in prompts:
+            raise RuntimeError("no answer")
+        return [f'{{"quality_score": {len(p)}}}' for p in prompts]
+
+    df = spark.createDataFrame([("p", g, g) for g in "wxyz"], "project_id string, gate string, prompt string").coalesce(1)
+    parsed = X.parse_model_response(X.score_with(df, picky), "answer").collect()
+    assert {r.gate: r.quality_score for r in parsed} == {"w": 1.0, "x": 1.0, "y": None, "z": 1.0}
+    assert [r.recommendations for r in parsed if r.gate == "y"] == [None]
+
+
 def test_prompts(spark):
     from checks import queries as Q
 

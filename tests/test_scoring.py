@@ -58,3 +58,14 @@ def test_comments_hash(spark):
     df = spark.createDataFrame([(comments,)], "comments map<string,string>")
     want = hashlib.md5(json.dumps(comments, sort_keys=True).encode()).hexdigest()[:8]
     assert df.select(R.comments_hash()).first()[0] == want
+
+
+def test_more_than_a_hundred_files_count(spark):
+    from portcullis.plans.scan import scan_lines
+
+    rows = [("p", f"src/f{i:03}.py", "python", n, "x = 1") for i in range(130) for n in (1, 2)]
+    lines = spark.createDataFrame(rows, "project_id string, path string, language string, line_no long, line string")
+    every, capped = (scan_lines(lines, cap=c).summary.first() for c in (None, 100))
+    assert (every.total_files, every.total_lines) == (130, 260)
+    assert (capped.total_files, capped.total_lines) == (100, 200)
+    assert scan_lines(lines).summary.first().total_files == 130
