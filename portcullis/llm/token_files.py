@@ -42,18 +42,21 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     left = np.minimum(SUB, n - np.arange(n) // SUB * SUB) - np.arange(n) % SUB
     # How many bits each id needs; the largest need among the next c ids shows which selectors fit at a place.
     need = np.searchsorted(np.array([1 << int(b) for b in BITS[1:]], dtype=np.uint64), ids, side="right") + 1
-    best, most = np.where(need > 14, 0, 14), need.copy()
+    best = np.where(need > 14, 0, 14)
+    places = np.flatnonzero(need <= 14)
+    most = need[places]
     for c in range(2, 61):
-        most[: n - c + 1] = np.maximum(most[: n - c + 1], need[c - 1 :])
-        most[n - c + 1 :] = 99
-        fits = np.flatnonzero((left >= c) & (most <= 14))
-        # The narrowest selector that holds the next c ids must have room for c of them.
-        fits = fits[COUNTS[most[fits]] >= c]
-        if not len(fits):
+        # Where the next c ids do not fit in a word, no more of them do. A selector must have room for c of them.
+        inside = left[places] >= c
+        places, most = places[inside], most[inside]
+        most = np.maximum(most, need[places + c - 1])
+        fits = (most <= 14) & (COUNTS[np.minimum(most, 14)] >= c)
+        places, most = places[fits], most[fits]
+        if not len(places):
             break
         exact = np.flatnonzero(COUNTS == c)
         if len(exact):
-            best[fits] = exact[0]
+            best[places] = exact[0]
     taken = COUNTS[best]
     at, ends, starts, order = np.arange(subs) * SUB, np.minimum(n, np.arange(1, subs + 1) * SUB), [], []
     active = np.arange(subs)
