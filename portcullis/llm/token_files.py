@@ -25,7 +25,7 @@ BLOCK_SCHEMA = "part int, block int, first_id long, doc_ids array<long>, doc_siz
 
 # Whole pre-tokens end between two such characters, so pieces are encoded alike alone and within their text.
 _PIECES = re.compile(r"(?<=\S) (?=\S)")
-_CACHE_PIECES = 400_000
+_CACHE_PIECES = 1_000_000
 _state: dict = {}
 
 
