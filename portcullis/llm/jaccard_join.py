@@ -110,15 +110,6 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _incidence(lists: list[np.ndarray]) -> np.ndarray:
-    """Rows of 0 and 1: which of all the values each list holds."""
-    flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-    values, at = np.unique(flat, return_inverse=True)
-    found = np.zeros((len(lists), max(1, len(values))), np.float32)
-    found[np.repeat(np.arange(len(lists)), [len(x) for x in lists]), at] = 1
-    return found
-
-
 def _common(lists: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
     """How many values the lists of rows share with those of columns, in slices of the values to bound memory."""
     total = np.zeros((len(rows), len(columns)), np.float32)
@@ -148,11 +139,10 @@ def _need_checks(group: pd.DataFrame) -> pd.DataFrame:
         need = g.comp.to_numpy()[:, None] != g.comp.to_numpy()[None, :]
         n = g.n.to_numpy()
         need &= (100 * np.minimum(n[:, None], n[None, :])) >= PERCENT * np.maximum(n[:, None], n[None, :])
-        earlier = _incidence([np.asarray(x, np.int64) for x in g.earlier])
-        need &= (earlier @ earlier.T) == 0
-        for column in ("other0", "other1"):
-            shared = _incidence([np.asarray(x, np.int64) for x in g[column]])
-            need &= (shared @ shared.T) > 0
+        every = np.arange(len(g))
+        for column in ("earlier", "other0", "other1"):
+            shared = _common([np.asarray(x, np.int64) for x in g[column]], every, every) > 0
+            need &= ~shared if column == "earlier" else shared
         mine = need.any(axis=1)
         if mine.any():
             out.append(g.loc[mine, ["block", "tile", "doc_id", "comp"]])
@@ -208,9 +198,9 @@ def _links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame] | No
     shared = flagged.where("shared").select("token", "doc_id", "n").unionAll(
         flagged.where("edge and not shared").join(edges, "token", "left_semi").select("token", "doc_id", "n")
     )
-    # Of its prefix a document shares at least `least` tokens with any that is similar enough; with fewer it is out.
-    left_out = F.floor(F.lit(LEFT_OUT) * F.col("n")).cast("long")
-    least = (F.floor((PERCENT * F.col("n") + 99) / 100).cast("long") - left_out).alias("least")
+    # Two similar documents, the larger of m tokens, share 75 % of m or more and leave out 5/8 of m at most, so their
+    # prefixes share m / 8 or more tokens, which no partner's size lowers below n / 8. With fewer a document is out.
+    least = F.greatest(F.lit(1), F.ceil(F.lit(PERCENT / 100 - LEFT_OUT) * F.col("n"))).cast("long").alias("least")
     lists = shared.groupBy("doc_id", "n").agg(F.collect_list("token").alias("tokens")).select("doc_id", "n", least, "tokens")
     alive = saved(lists.where(F.size("tokens") >= F.col("least")), "alive")
     again = alive.select("doc_id", "n", "least", F.explode("tokens").alias("token"))

@@ -160,6 +160,17 @@ def test_components_equal_brute_force(spark, monkeypatch):
     assert jaccard_join.near_duplicates(frame(spark, ["a"]).limit(0), "doc_id", "text").count() == 0
 
 
+def test_sets_just_similar_enough_are_linked(spark):
+    """Sets of n tokens inside sets of 4 n / 3: the larger one's prefix may hold few of the smaller one's tokens."""
+    texts = []
+    for seed in range(60):
+        long = words(8 if seed < 40 else 12, 5000 + seed, 10**6)
+        texts += [" ".join(long), " ".join(long[: 7 if seed < 40 else 10])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(frame(spark, texts), "doc_id", "text").collect()}
+    assert got == brute_components(texts)
+    assert all(c == i - i % 2 for i, (_, c) in got.items())
+
+
 # Decontamination
 
 
