@@ -162,10 +162,10 @@ def _chain(text, table, otherwise, quote=lit):
 
 T["typed_rules"] = f"""
 SELECT *, {_chain('plow', H.PATTERN_TYPES, H.PATTERN_TYPE_ELSE)} AS pattern_type,
-  CASE WHEN contains(plow, 'password') OR contains(plow, 'secret') THEN {lit(H.FIX_SENSITIVE)}
-    WHEN contains(plow, 'log') AND NOT contains(plow, 'error') THEN {lit(H.FIX_LOGGING)}
-    WHEN contains(plow, 'try') OR contains(plow, 'catch') THEN {lit(H.FIX_HANDLING)}
-    WHEN contains(plow, 'todo') OR contains(plow, 'fixme') THEN {lit(H.FIX_TODO)} ELSE {lit(H.FIX_ELSE)} END AS suggested_fix
+  CASE WHEN contains(plow, 'password') OR contains(plow, 'secret') THEN {lit(H.FIXES[0][0])}
+    WHEN contains(plow, 'log') AND NOT contains(plow, 'error') THEN {lit(H.FIXES[1][0])}
+    WHEN contains(plow, 'try') OR contains(plow, 'catch') THEN {lit(H.FIXES[2][0])}
+    WHEN contains(plow, 'todo') OR contains(plow, 'fixme') THEN {lit(H.FIXES[3][0])} ELSE {lit(H.FIX_ELSE)} END AS suggested_fix
 FROM all_rules"""
 T["line_kinds"] = "SELECT DISTINCT language, line FROM c1"
 T["kind_hits"] = r"""

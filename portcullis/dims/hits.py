@@ -23,10 +23,13 @@ PATTERN_TYPES = [
 PATTERN_TYPE_ELSE = "general"
 CATEGORY_SUFFIXES = ["structured", "async", "error"]
 
-FIX_SENSITIVE = "Remove sensitive data from logs. Use placeholder values or hash sensitive information."
-FIX_LOGGING = "Consider using structured logging with appropriate log levels."
-FIX_HANDLING = "Ensure proper error handling with specific exception types and logging."
-FIX_TODO = "Address this TODO/FIXME item before production deployment."
+#: Advice for a pattern: the first row applies of whose words the pattern holds one and of whose others it holds none.
+FIXES = [
+    ("Remove sensitive data from logs. Use placeholder values or hash sensitive information.", ["password", "secret"], []),
+    ("Consider using structured logging with appropriate log levels.", ["log"], ["error"]),
+    ("Ensure proper error handling with specific exception types and logging.", ["try", "catch"], []),
+    ("Address this TODO/FIXME item before production deployment.", ["todo", "fixme"], []),
+]
 FIX_ELSE = "Review this code pattern for compliance with best practices."
 
 DOC_LINKS = {

@@ -88,15 +88,8 @@ def pattern_severity(pattern):
 
 def suggested_fix(pattern):
     low = pattern.lower()
-    if "password" in low or "secret" in low:
-        return hits.FIX_SENSITIVE
-    if "log" in low and "error" not in low:
-        return hits.FIX_LOGGING
-    if "try" in low or "catch" in low:
-        return hits.FIX_HANDLING
-    if "todo" in low or "fixme" in low:
-        return hits.FIX_TODO
-    return hits.FIX_ELSE
+    open_to = [(text, words) for text, words, others in hits.FIXES if not any(w in low for w in others)]
+    return _first(open_to, lambda w: w in low, hits.FIX_ELSE)
 
 
 @dataclass(frozen=True)
