@@ -46,14 +46,22 @@ def fingerprint(text: Column, lists: Column) -> Column:
 
     def of(terms: Column) -> Column:
         kept = F.array_sort(F.filter(terms, lambda t: F.array_contains(F.get(lists, t.bitwiseAND(LISTS - 1).cast("int")), t)))
-        cell = lambda t: F.shiftright(t, 20).bitwiseAND(CELLS - 1)
-        parts = lambda some: F.transform(
-            F.sequence(F.lit(0), F.lit(LEXICONS - 1)),
-            lambda k: let(F.filter(some, lambda t: cell(t) == k), lambda own: F.when(F.size(own) == 0, "-").otherwise(F.substring(digest(own), 1, 8))),
-        )
+        # The highest bits of a term's hash are its cell, so in sorted terms each cell's lie together: a lexicon's terms
+        # are found by the first and last place of its number.
+        cell = lambda t: (F.shiftright(t, 56) + CELLS // 2).cast("int")
+
+        def part(k: Column, some: Column, cells: Column, back: Column) -> Column:
+            begin, behind = F.array_position(cells, k), F.array_position(back, k)
+            own = F.slice(some, begin.cast("int"), (F.size(some) - begin - behind + 2).cast("int"))
+            return F.when(F.array_contains(cells, k), F.substring(digest(own), 1, 8)).otherwise("-")
+
+        def parts(some: Column) -> Column:
+            numbers = F.sequence(F.lit(0), F.lit(LEXICONS - 1))
+            return let(F.transform(some, cell), lambda cells: let(F.reverse(cells), lambda back: F.transform(numbers, lambda k: part(k, some, cells, back))))
+
         return let(
             let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array_sort(terms))),
-            lambda k: F.concat_ws(".", digest(k), F.concat_ws(".", parts(F.filter(k, lambda t: cell(t) < LEXICONS)))),
+            lambda k: F.concat_ws(".", digest(k), F.concat_ws(".", let(F.filter(k, lambda t: cell(t) < LEXICONS), parts))),
         )
 
     return let(terms_of(text), of)
