@@ -236,11 +236,11 @@ def with_spans(docs: DataFrame, text: str, model: Model, least: float = 0.9, out
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of spans that overlap the first takes the place."""
+    """The text with each span replaced by its kind in brackets; spans that overlap become one, named by the first of them."""
     step = lambda acc, s: F.when(
         s["start"] >= acc["at"],
         F.struct(F.concat(acc["done"], F.array(text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("done"), s["end"].alias("at")),
-    ).otherwise(acc)
+    ).otherwise(F.struct(acc["done"].alias("done"), F.greatest(acc["at"], s["end"]).alias("at")))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(0).alias("at"))
     whole = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["done"], ""), text.substr(acc["at"] + 1, F.length(text))))
     return F.when(F.size(spans) > 0, whole).otherwise(text)

@@ -100,6 +100,13 @@ def test_spans_equal_plain_patterns(spark):
     assert pii.with_spans(docs.limit(0), "text", pii.learn(docs.limit(0), "text")).count() == 0
 
 
+def test_overlapping_spans_are_masked_to_their_ends(spark):
+    texts = ["10.0.0.0 4111 1111 1111 1111", "4111 1111 1111 1111.jo@x.com", "a 10.0.0.0 4111 1111 1111 1111.jo@x.com b c@d.e", "a@b.c 10.0.0.1"]
+    found = pii.with_spans(frame(spark, texts), "text", pii.Model(0.5, [[[1 / 3] * 3] * 2] * pii.LABELERS, [0.0] * pii.FEATURE_CELLS))
+    got = [r[0] for r in found.orderBy("doc_id").select(pii.masked(F.col("text"), F.col("spans"))).collect()]
+    assert got == ["[IP]", "[CARD]", "a [IP] b [EMAIL]", "[EMAIL] [IP]"]
+
+
 def test_running_sums(spark):
     sizes = list(range(300))
     got = spark.createDataFrame([(sizes,), ([],)], "a array<int>").select(pii.running_sums(F.col("a")).alias("s")).collect()
