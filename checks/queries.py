@@ -362,7 +362,7 @@ def j2_language_rules(spark, sf):
 @query
 def j3_every_gate(spark, sf):
     projects = C.tree_files(spark, sf).select("project_id").unionByName(C.code_files(spark, sf).select("project_id")).distinct()
-    found = hits(spark, sf, "timeouts", "error_logs").groupBy("project_id", "gate").agg(F.count(F.lit(1)).alias("found"))
+    found = hits(spark, sf).groupBy("project_id", "gate").agg(F.count(F.lit(1)).alias("found"))
     return J.j3_every_gate(projects, found).select("project_id", "gate", F.coalesce("found", F.lit(0)).alias("found"))
 
 
@@ -425,7 +425,7 @@ def j7_report_runs(spark, sf):
 @query
 def j8_nearest_header(spark, sf):
     src = lines(spark, sf)
-    asked = hits(spark, sf, "retry_logic").select("project_id", "path", "line_no", "rule_no", "matched_text").drop("rule_no")
+    asked = hits(spark, sf).select("project_id", "path", "line_no", "rule_no", "matched_text").drop("rule_no")
     return J.j8_nearest_header(asked, src)
 
 
@@ -720,8 +720,8 @@ def w6_score_trend(spark, sf):
 
 @query
 def u1_union_hits(spark, sf):
-    first, second = hits(spark, sf, "timeouts"), hits(spark, sf, "throttling")
-    return first.unionByName(second).groupBy("project_id", "gate", "language").agg(F.count(F.lit(1)).alias("hits"))
+    """Hits of all gates together; one search gives their union."""
+    return hits(spark, sf).groupBy("project_id", "gate", "language").agg(F.count(F.lit(1)).alias("hits"))
 
 
 @query
