@@ -10,7 +10,6 @@ from checks import corpora as C
 from portcullis.dims import gates as D, technologies as TD
 from portcullis.dims.languages import LANGUAGE_ORD
 from portcullis.dims.rules import default_rules
-from portcullis.functions.ranking import top_per
 from portcullis.functions.text import lookup
 from portcullis.operators import (
     filters as P, gates as G, joins as J, languages as L, matching as M, reports as R, samples as X, scoring as A,
@@ -872,10 +871,9 @@ def x2_relevant_samples(spark, sf):
 
 def document_samples(spark, sf):
     """Long samples: documents as the samples of their source."""
-    docs = C.table(spark, sf, "documents").select(
+    return C.table(spark, sf, "documents").select(
         F.col("source").alias("project_id"), F.lit("error_logs").alias("gate"), F.col("doc_id").alias("position"), F.col("text").alias("sample")
     )
-    return top_per(docs, ["project_id", "gate"], ["position"], 10).drop("rank")
 
 
 @query

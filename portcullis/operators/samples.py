@@ -55,16 +55,30 @@ def relevant_samples(samples: DataFrame, k=SAMPLES_KEPT) -> DataFrame:
     )
 
 
-def budget_samples(samples: DataFrame, sample_chars=SAMPLE_CHARS, prompt_chars=PROMPT_CHARS) -> DataFrame:
-    """Cuts long samples and stops before their running length exceeds the prompt size."""
+def budget_samples(samples: DataFrame, sample_chars=SAMPLE_CHARS, prompt_chars=PROMPT_CHARS, block=4096) -> DataFrame:
+    """Cuts long samples and stops before their running length exceeds the prompt size.
+
+    Lengths are summed per (gate, block of the integer column ``position``), and only these sums run over a whole gate.
+    Samples are ordered inside those blocks alone that still fit, at most ``block`` of them in one task.
+    """
     long = F.length("sample") > sample_chars
     cut = samples.withColumn(
         "sample", F.when(long, F.concat(F.substring("sample", 1, sample_chars), F.lit(CUT_MARK))).otherwise(F.col("sample"))
     )
-    running = Window.partitionBy("project_id", "gate").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    return cut.withColumn("running_chars", F.sum(F.length("sample")).over(running)).where(
-        F.col("running_chars") <= prompt_chars
+    cut = cut.withColumn("_block", F.floor(F.col("position") / block))
+    keys = ["project_id", "gate", "_block"]
+    sums = cut.groupBy(*keys).agg(F.sum(F.length("sample")).alias("_chars"))
+    earlier = Window.partitionBy("project_id", "gate").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    fitting = sums.withColumn("_before", F.sum("_chars").over(earlier)).where(F.coalesce("_before", F.lit(0)) <= prompt_chars)
+    fitting = fitting.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_before")
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    inside = F.sum(F.length("sample")).over(
+        Window.partitionBy(*keys).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    running = cut.join(fitting, same).withColumn("_inside", inside).withColumn(
+        "running_chars", F.coalesce(F.col("_before") + F.col("_inside"), "_inside", "_before")
     )
+    return running.where(F.col("running_chars") <= prompt_chars).select(*samples.columns, "running_chars")
 
 
 def prompt_context(matches: DataFrame, results: DataFrame, n=10) -> DataFrame:

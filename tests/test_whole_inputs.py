@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 LIMITS = {
     "j3_every_gate": [("WHERE gate IN ('timeouts', 'error_logs')", "")],
     "j8_nearest_header": [("WHERE gate = 'retry_logic'", "")],
+    "x3_budget_samples": [("QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10", "")],
     "u1_union_hits": [("WHERE gate IN ('timeouts', 'throttling')", "")],
 }
 
@@ -22,6 +23,26 @@ def whole(name):
     return sql
 
 
+def test_budget_reads_all_documents(spark, tmp_path):
+    """More than ten short documents of a source fit; ids lie in several blocks, and one source is null."""
+    rows = [(i * 700 - 3000, ["a", "b", None][i % 3], None if i % 50 == 7 else "x" * (0 if i % 11 == 5 else 37 * i % 2500)) for i in range(120)]
+    rows += [(10**6 + i, "c", "y") for i in range(9000)] + [(10**6 + 9000 + i, "c", "z" * 2100) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    want, length = set(), {}
+    for doc, source, text in sorted(rows, key=lambda r: r[0]):
+        sample = text if text is None or len(text) <= 2000 else text[:2000] + "... [truncated]"
+        if sample is not None:
+            length[source] = length.get(source, 0) + len(sample)
+        if length.get(source, 15_001) <= 15_000:
+            want.add((source, "error_logs", doc, sample, length[source]))
+    got = [tuple(r) for r in QUERIES["x3_budget_samples"](spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want) and sum(r[0] == "c" for r in got) == 9002
+
+
+def test_limits_are_in_the_twins():
+    assert all(limit in ORACLES[name] for name, limits in LIMITS.items() for limit, _ in limits)
+
+
 @pytest.mark.parametrize("name", LIMITS)
 def test_whole_input(spark, name):
     assert difference(QUERIES[name](spark, SF), duck(SF), whole(name)) is None
