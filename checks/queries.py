@@ -537,7 +537,7 @@ def t2_technologies_in_manifests(spark, sf):
 
 @query
 def t3_sample_technologies(spark, sf):
-    tree = TE.sample_technologies(C.tree_files(spark, sf).where("language IS NOT NULL AND path LIKE '%/%'"))
+    tree = TE.sample_technologies(C.tree_files(spark, sf).where("language IS NOT NULL"))
     return tree.unionByName(TE.sample_technologies_of_lines(lines(spark, sf)))
 
 

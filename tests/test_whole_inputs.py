@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 LIMITS = {
     "j3_every_gate": [("WHERE gate IN ('timeouts', 'error_logs')", "")],
     "j8_nearest_header": [("WHERE gate = 'retry_logic'", "")],
+    "t3_sample_technologies": [("AND contains(path, '/') ", "")],
     "x3_budget_samples": [("QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10", "")],
     "u1_union_hits": [("WHERE gate IN ('timeouts', 'throttling')", "")],
 }
