@@ -10,8 +10,8 @@ from portcullis.llm.common import let, saved
 #: Terms are kept that occur in more than LEAST and at most MOST of all documents. As each document has few terms on
 #: average, the share LEAST bounds how many terms the lexicon can hold, whatever the number of documents.
 LEAST, MOST = 0.001, 0.2
-#: The number of random lexicons; each holds one of CELLS parts of the whole one.
-LEXICONS, CELLS = 64, 256
+#: The number of random lexicons, which part the whole one: each term is in one of them, told by its hash's highest byte.
+LEXICONS = 256
 #: Lists of the lookup table of terms.
 LISTS = 1 << 14
 
@@ -48,7 +48,7 @@ def fingerprint(text: Column, lists: Column) -> Column:
         kept = F.array_sort(F.filter(terms, lambda t: F.array_contains(F.get(lists, t.bitwiseAND(LISTS - 1).cast("int")), t)))
         # The highest bits of a term's hash are its cell, so in sorted terms each cell's lie together: a lexicon's terms
         # are found by the first and last place of its number.
-        cell = lambda t: (F.shiftright(t, 56) + CELLS // 2).cast("int")
+        cell = lambda t: (F.shiftright(t, 56) + LEXICONS // 2).cast("int")
 
         def part(k: Column, some: Column, cells: Column, back: Column) -> Column:
             begin, behind = F.array_position(cells, k), F.array_position(back, k)
@@ -61,7 +61,7 @@ def fingerprint(text: Column, lists: Column) -> Column:
 
         return let(
             let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array_sort(terms))),
-            lambda k: F.concat_ws(".", digest(k), F.concat_ws(".", let(F.filter(k, lambda t: cell(t) < LEXICONS), parts))),
+            lambda k: F.concat_ws(".", digest(k), F.concat_ws(".", parts(k))),
         )
 
     return let(terms_of(text), of)

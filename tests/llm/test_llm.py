@@ -315,6 +315,14 @@ def test_fingerprints(spark):
     assert len(kept) == sum(max(2, int(0.02 * n)) <= c <= max(2, int(0.5 * n)) for c in counts.values())
 
 
+def test_each_term_of_the_band_is_in_a_random_lexicon(spark):
+    """Each term alone gives one part, so a text that keeps one term of the band is like the text it was made from."""
+    docs = frame(spark, [" ".join(words(80, k, 300)) for k in range(60)])
+    lists = saved(fingerprints.lexicon(docs, "text", 0.02, 0.5), "lexicon")
+    alone = fingerprints.with_fingerprints(frame(spark, [f"w{i}" for i in range(300)]), "text", lists)
+    assert {len([p for p in r.fingerprint.split(".")[1:] if p != "-"]) for r in alone.collect()} == {1}
+
+
 def test_successors(spark):
     ids = spark.createDataFrame([(i,) for i in [5, 900, None, 7, 7, 100000, -3]], "doc_id long")
     assert {(r.doc_id, r.next_id) for r in fingerprints.successors(ids, 3).collect()} == {(100000, 900), (900, 7), (7, 5), (5, -3), (-3, 100000)}
