@@ -229,7 +229,7 @@ def _links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame] | No
     )
     pairs = saved(alike.select("a", "b"), "pairs")
     whom = saved(docs_kept.select("doc_id"), "whom")
-    sets = saved(docs.join(small(whom), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, own binary"), "sets")
+    sets = saved(docs.join(small(whom), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "doc_id long, own binary"), "sets")
     own = lambda name: sets.select(F.col("doc_id").alias(name), F.col("own").alias(f"own_{name}"))
     star_links = saved(pairs.join(own("b"), "b").join(own("a"), "a").select("a", "b", "own_a", "own_b").mapInArrow(_linked, "a long, b long"), "stars")
     joined = saved(components(whom, star_links), "joined")
@@ -256,18 +256,30 @@ def _links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame] | No
     return whom, saved(star_links.unionAll(more), "all-links")
 
 
+def _of_repeated(rows: DataFrame) -> DataFrame:
+    """The same where ids repeat: each row gets a key of its own, and then rows are joined that share an id."""
+    keyed = saved(rows.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+    found = saved(keyed.select("row_key", "doc_id").join(near_duplicates(keyed, "row_key", "text").withColumnRenamed("doc_id", "row_key"), "row_key"), "by-row")
+    groups = saved(found.groupBy(F.col("component_id").alias("group")).agg(F.min("doc_id").alias("low")), "groups")
+    links = found.join(groups, found["component_id"] == groups["group"]).where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))
+    comps = components(found.select("doc_id").distinct(), links)
+    return found.select("doc_id", "n_shingles").join(comps.withColumnRenamed("comp", "component_id"), "doc_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per row of docs with a non-null id: doc_id, n_shingles, component_id.
 
     Two documents are linked when 100 * shared shingles >= 75 * all their shingles; the component is the smallest id
     that links reach. Documents with equal sets are one class, of which only the smallest id is compared. Texts that
-    are null or have no words have no shingles and no links. Rows that share an id but not a text count as linked to
-    whatever any of them is linked to.
+    are null or have no words have no shingles and no links. Rows that share an id are one document with several texts:
+    all of them are compared, and the id is linked to whatever any of them is linked to.
 
     Candidates share prefix tokens under several global token orders: first by hash, which needs no counting, then by
     document frequency among what is left, then by two more hashes. All pairs that pass are decided by their whole sets.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if not rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return _of_repeated(rows)
     # Prefixes are made once more where they are needed: that takes less than to keep them.
     first = saved(rows.mapInArrow(_class_keys, "doc_id long, set_key binary, n long"), "first")
     reps = rows.mapInArrow(_prefixes, "doc_id long, set_key binary, n long, prefix array<long>").where("n > 0").groupBy("set_key", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"))

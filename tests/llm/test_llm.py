@@ -178,6 +178,17 @@ def test_sets_just_similar_enough_are_linked(spark):
     assert all(c == i - i % 2 for i, (_, c) in got.items())
 
 
+def test_ids_on_two_texts_are_linked_by_both(spark):
+    texts = [" ".join(words(40, 700 + k, 10**6)) for k in range(8)]
+    near = lambda k: " ".join([*texts[k].split()[:-1], "other"])
+    # 9 holds texts 0 and 1, 8 a near copy of text 0 and 2 of text 1; 5 and 7 share nothing but the id 6; 4 holds a blank too.
+    rows = [(9, texts[0]), (9, texts[1]), (8, near(0)), (2, near(1)), (6, texts[2]), (6, texts[3]), (7, near(2)), (5, near(3)), (4, texts[4]), (4, " "), (3, texts[5]), (3, texts[5]), (None, texts[5])]
+    want = {9: 2, 8: 2, 2: 2, 6: 5, 7: 5, 5: 5, 4: 4, 3: 3}
+    for order in (rows, rows[::-1]):
+        got = jaccard_join.near_duplicates(spark.createDataFrame(order, "doc_id long, text string"), "doc_id", "text").collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((i, 0 if t == " " else 36, want[i]) for i, t in rows if i is not None)
+
+
 # Decontamination
 
 
