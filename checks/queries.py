@@ -249,7 +249,9 @@ def l5_language_confidence(spark, sf):
     signs = heads.groupBy("project_id", "language").agg(
         F.count(F.lit(1)).alias("file_count"), F.sum(L.content_hits()).alias("content_matches")
     )
-    return signs.withColumn("confidence", L.confidence(has_config=F.lit(False)))
+    names = C.code_files(spark, sf).select("project_id", "file_name").unionByName(C.tree_files(spark, sf).select("project_id", "file_name"))
+    known = signs.join(L.config_presence(names), ["project_id", "language"], "left").withColumn("has_config", F.coalesce("has_config", F.lit(False)))
+    return known.withColumn("confidence", L.confidence()).drop("has_config")
 
 
 @query
@@ -396,9 +398,8 @@ def j6_comments(spark, sf):
 
 
 def saved_reports(spark, sf):
-    """Saved report files templated from the views in ``events``."""
-    views = C.table(spark, sf, "events").where("event_type = 'view'")
-    return views.groupBy("user_id").agg(
+    """Saved report files templated from all ``events``."""
+    return C.table(spark, sf, "events").groupBy("user_id").agg(
         (F.count(F.lit(1)) * 40_000).alias("size"), F.max("ts").alias("modified")
     ).select(
         F.concat(F.lit("hard_gate_report_"), F.col("user_id").cast("string"), F.lit(".html")).alias("file_name"), "size", "modified"
@@ -406,8 +407,8 @@ def saved_reports(spark, sf):
 
 
 def runs(spark, sf):
-    """Scan states templated from the other ``events``."""
-    states = C.table(spark, sf, "events").where("event_type IN ('error', 'signup')").select(
+    """Scan states templated from all ``events``."""
+    states = C.table(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("scan_id"), F.col("event_type").alias("status"), "ts", "value"
     )
     return states.groupBy("scan_id").agg(

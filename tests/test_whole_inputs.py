@@ -2,6 +2,9 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from checks import queries
 from checks.compare import difference, duck
 from checks.oracle import ORACLES
 from checks.queries import QUERIES
@@ -13,6 +16,8 @@ LIMITS = {
     "j8_nearest_header": [("WHERE gate = 'retry_logic'", "")],
     "t3_sample_technologies": [("AND contains(path, '/') ", "")],
     "x3_budget_samples": [("QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10", "")],
+    **{name: [(" WHERE event_type = 'view'", ""), (" WHERE event_type IN ('error', 'signup')", "")] for name in ("j7_report_runs", "r6_report_listing")},
+    **{name: [(" WHERE event_type = 'view'", "")] for name in ("w4_newest_first", "r7_expired_reports")},
     "u1_union_hits": [("WHERE gate IN ('timeouts', 'throttling')", "")],
 }
 
@@ -44,6 +49,15 @@ def test_limits_are_in_the_twins():
     assert all(limit in ORACLES[name] for name, limits in LIMITS.items() for limit, _ in limits)
 
 
+def test_confidence_knows_manifests(spark, monkeypatch):
+    ask = lambda: {(r.project_id, r.language): r.confidence for r in QUERIES["l5_language_confidence"](spark, SF).collect()}
+    without, tree = ask(), queries.C.tree_files(spark, SF)
+    named = tree.where("file_name = 'requirements.txt'").limit(1).withColumn("project_id", F.lit("proj0"))
+    monkeypatch.setattr(queries.C, "tree_files", lambda spark, sf: tree.unionByName(named))
+    more = {k: c - without[k] for k, c in ask().items() if c != without[k]}
+    assert more == {("proj0", "python"): 20}
+
+
 @pytest.mark.parametrize("name", LIMITS)
 def test_whole_input(spark, name):
     assert difference(QUERIES[name](spark, SF), duck(SF), whole(name)) is None
