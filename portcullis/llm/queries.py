@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portcullis.llm import bpe, decontamination, fingerprints, jaccard_join, language_id, pii, sharding, token_files, toxicity, url_rules
+from portcullis.llm import bpe, decontamination, fingerprints, jaccard_join, language_id, pii, sharding, token_files, toxicity, url_rules, warc
 from portcullis.llm.common import id_remainder, saved, shared_dir, table
 
 #: The id that ends each document in token files.
@@ -124,6 +124,19 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, "url", URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record in WARC archives, converted from legacy archives that the pages are first written to."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    path = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    warc.write_arc(pages, "page_id", "url", "html", f"{path}/arc")
+    warc.write_warc(warc.converted(spark, f"{path}/arc"), f"{path}/warc")
+    back = warc.pages_of(saved(warc.read_warc(spark, f"{path}/warc", payloads=False), "warc-index"))
+    number = lambda key: F.col(key).cast("long")
+    return back.select(
+        number("record_key").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), number("refers_to_key").alias("refers_to")
+    )
+
+
 QUERIES = {
     "op1_shard_placement": op1_shard_placement,
     "op2_personal_data": op2_personal_data,
@@ -135,6 +148,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_url_rules": op9_url_rules,
     "op10_imatch": op10_imatch,
+    "op13_arc_to_warc": op13_arc_to_warc,
 }
 
 
@@ -199,8 +213,18 @@ def _decontamination_sql() -> str:
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+def _warc_sql() -> str:
+    return f"""
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        firsts AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= {warc.LEAST_COPY} GROUP BY payload_digest)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first < page_id THEN first END AS refers_to
+        FROM p LEFT JOIN firsts USING (payload_digest)"""
+
+
 ORACLES = {
     "op5_decontamination": _decontamination_sql(),
     "op1_shard_placement": _sharding_sql(),
     "op9_url_rules": _url_rules_sql(),
+    "op13_arc_to_warc": _warc_sql(),
 }
