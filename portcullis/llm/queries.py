@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portcullis.llm import bpe, decontamination, fingerprints, jaccard_join, language_id, pii, sharding, token_files, toxicity, url_rules, warc
+from portcullis.llm import bpe, decontamination, fingerprints, hard_negatives, jaccard_join, language_id, pii, sharding, token_files, toxicity, url_rules, warc
 from portcullis.llm.common import id_remainder, saved, shared_dir, table
 
 #: The id that ends each document in token files.
@@ -124,6 +124,13 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, "url", URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of every hundredth vector and each of its positives; every seventh vector has a wrong label."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors, "vec_id", "embedding", label, F.col("vec_id") % 100 == 0)
+
+
 def op13_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record in WARC archives, converted from legacy archives that the pages are first written to."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -148,6 +155,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_url_rules": op9_url_rules,
     "op10_imatch": op10_imatch,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_arc_to_warc": op13_arc_to_warc,
 }
 
@@ -213,6 +221,22 @@ def _decontamination_sql() -> str:
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+def _hard_negatives_sql() -> str:
+    return """
+        WITH e AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, a.label = e.label AS same, e.vec_id AS other, list_dot_product(a.v, e.v)::BIGINT AS score
+            FROM e AS a JOIN e ON a.vec_id <> e.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+        SELECT p.*, other AS negative_id, score AS negative_score, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other))::INTEGER AS rank
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY rank <= 10"""
+
+
 def _warc_sql() -> str:
     return f"""
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
@@ -226,5 +250,6 @@ ORACLES = {
     "op5_decontamination": _decontamination_sql(),
     "op1_shard_placement": _sharding_sql(),
     "op9_url_rules": _url_rules_sql(),
+    "op11_hard_negatives": _hard_negatives_sql(),
     "op13_arc_to_warc": _warc_sql(),
 }
