@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portcullis.llm import bpe, decontamination, fingerprints, hard_negatives, jaccard_join, language_id, pii, sharding, token_files, toxicity, url_rules, warc
+from portcullis.llm import bpe, decontamination, fingerprints, hard_negatives, jaccard_join, language_id, lexical_search, pii, sharding, token_files, toxicity, url_rules, warc
 from portcullis.llm.common import id_remainder, saved, shared_dir, table
 
 #: The id that ends each document in token files.
@@ -131,6 +131,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors, "vec_id", "embedding", label, F.col("vec_id") % 100 == 0)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of every benchmark item."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return lexical_search.search(docs.select("doc_id", "text"), "doc_id", "text", items.select("item_id", "text"), "item_id", "text")
+
+
 def op13_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record in WARC archives, converted from legacy archives that the pages are first written to."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -156,6 +162,7 @@ QUERIES = {
     "op9_url_rules": op9_url_rules,
     "op10_imatch": op10_imatch,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_lexical_search": op12_lexical_search,
     "op13_arc_to_warc": op13_arc_to_warc,
 }
 
@@ -237,6 +244,24 @@ def _hard_negatives_sql() -> str:
         QUALIFY rank <= 10"""
 
 
+def _lexical_search_sql() -> str:
+    terms = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"""
+    return f"""
+        WITH d AS (SELECT doc_id, {terms} AS terms FROM documents),
+        sizes AS (SELECT doc_id, len(terms) AS n FROM d WHERE len(terms) > 0),
+        totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS length FROM sizes),
+        asked AS (SELECT item_id, unnest({terms}) AS term FROM benchmark),
+        i AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY ALL),
+        held AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d) SEMI JOIN asked USING (term) GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM held, totals GROUP BY term),
+        c AS (SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * n_docs) // length)))) AS credit
+              FROM held JOIN w USING (term) JOIN sizes USING (doc_id), totals),
+        s AS (SELECT item_id, doc_id, sum(times * credit)::BIGINT AS score FROM i JOIN c USING (term) GROUP BY ALL)
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+        FROM s WHERE score > 0 QUALIFY rank <= 20"""
+
+
 def _warc_sql() -> str:
     return f"""
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
@@ -251,5 +276,6 @@ ORACLES = {
     "op1_shard_placement": _sharding_sql(),
     "op9_url_rules": _url_rules_sql(),
     "op11_hard_negatives": _hard_negatives_sql(),
+    "op12_lexical_search": _lexical_search_sql(),
     "op13_arc_to_warc": _warc_sql(),
 }
