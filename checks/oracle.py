@@ -503,7 +503,7 @@ SELECT l.project_id, g.gate, l.language, count(r.rule_id) AS rules FROM (SELECT
 CROSS JOIN gate_dim g LEFT JOIN all_rules r ON r.gate = g.gate AND r.language = l.language GROUP BY 1, 2, 3""")
 oracle("j3_every_gate", """
 SELECT p.project_id, g.gate, count(h.rule_id) AS found FROM (SELECT project_id FROM tree UNION SELECT project_id FROM c1) p CROSS JOIN gate_dim g
-LEFT JOIN (SELECT * FROM hits WHERE gate IN ('timeouts', 'error_logs')) h ON h.project_id = p.project_id AND h.gate = g.gate GROUP BY 1, 2""")
+LEFT JOIN hits h ON h.project_id = p.project_id AND h.gate = g.gate GROUP BY 1, 2""")
 oracle("j4_language_filter", "SELECT project_id, path, language FROM classified c WHERE EXISTS (SELECT 1 FROM detected d WHERE d.project_id = c.project_id AND d.language = c.language)")
 oracle("j5_gate_facts", f"SELECT project_id, gate, found, {r6('weight')} AS weight, gate_category, display_name FROM combined JOIN gate_dim USING (gate)")
 T["label_rows"] = """
@@ -513,11 +513,11 @@ oracle("j6_comments", """
 SELECT c.project_id, c.gate, coalesce(st.comment, su.comment) AS comment FROM combined c LEFT JOIN supplied su USING (project_id, gate)
 LEFT JOIN (SELECT project_id, gate, concat('toxic ', count(*)) AS comment FROM label_rows WHERE toxic = 1 GROUP BY ALL) st USING (project_id, gate)""")
 T["saved"] = """
-SELECT CAST(user_id AS VARCHAR) AS scan_id, concat('hard_gate_report_', user_id, '.html') AS file_name, count(*) * 40000 AS size, max(ts) AS modified FROM events WHERE event_type = 'view' GROUP BY user_id"""
+SELECT CAST(user_id AS VARCHAR) AS scan_id, concat('hard_gate_report_', user_id, '.html') AS file_name, count(*) * 40000 AS size, max(ts) AS modified FROM events GROUP BY user_id"""
 T["runs"] = """
-SELECT CAST(user_id AS VARCHAR) AS scan_id, arg_max(event_type, (ts, event_type)) AS status, max(value) AS score FROM events WHERE event_type IN ('error', 'signup') GROUP BY user_id"""
+SELECT CAST(user_id AS VARCHAR) AS scan_id, arg_max(event_type, (ts, event_type)) AS status, max(value) AS score FROM events GROUP BY user_id"""
 oracle("j7_report_runs", "SELECT scan_id, file_name, coalesce(status, 'unknown') AS status FROM saved LEFT JOIN runs USING (scan_id)")
-oracle("j8_nearest_header", f"SELECT h.project_id, h.path, h.line_no, h.matched_text, {FUNCTION.replace('line_no - ', 'h.line_no - ')} FROM hits h JOIN line_functions f USING (project_id, path, line_no) WHERE gate = 'retry_logic'")
+oracle("j8_nearest_header", f"SELECT h.project_id, h.path, h.line_no, h.matched_text, {FUNCTION.replace('line_no - ', 'h.line_no - ')} FROM hits h JOIN line_functions f USING (project_id, path, line_no)")
 oracle("j9_without_language", """
 SELECT project_id, path FROM any_classified a WHERE language IS NULL AND NOT EXISTS (SELECT 1 FROM any_classified b WHERE b.project_id = a.project_id AND b.path = a.path AND b.language IS NOT NULL)""")
 
@@ -589,7 +589,7 @@ SELECT DISTINCT m.project_id, l.language, r.category, r.technology FROM tree m J
 WHERE m.path IN ('package.json', 'requirements.txt', 'pom.xml', 'build.gradle', 'Gemfile', 'composer.json', 'project.json') AND regexp_matches(m.content, '(?i)' || r.pattern)
 EXCEPT SELECT project_id, language, category, technology FROM tree_techs""")
 T["first_texts"] = """
-SELECT project_id, lower(content) AS low FROM tree_known WHERE language IS NOT NULL AND contains(path, '/') QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY path) <= 10
+SELECT project_id, lower(content) AS low FROM tree_known WHERE language IS NOT NULL QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY path) <= 10
 UNION ALL (SELECT project_id, lower(content) FROM c1_texts QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY path) <= 10)"""
 oracle("t3_sample_technologies", " UNION ".join(f"SELECT project_id, {lit(c)} AS category, {lit(t)} AS technology FROM first_texts WHERE {has('low', ws)}" for c, t, ws in TD.SAMPLED_TECHNOLOGIES))
 T["ui_files"] = "SELECT project_id, path, content FROM tree UNION ALL SELECT project_id, path, content FROM texts"
@@ -661,7 +661,7 @@ oracle("w5_truncations", f"SELECT project_id, gate, {joined('advice[1:5]')} AS f
 oracle("w6_score_trend", f"""
 SELECT CAST(user_id AS VARCHAR) AS project_id, event_id AS scan_id, {r6('value')} AS score, {r6('lag(value) OVER w')} AS previous_score, {r6('value - lag(value) OVER w')} AS change
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
-oracle("u1_union_hits", "SELECT project_id, gate, language, count(*) AS hits FROM hits WHERE gate IN ('timeouts', 'throttling') GROUP BY 1, 2, 3")
+oracle("u1_union_hits", "SELECT project_id, gate, language, count(*) AS hits FROM hits GROUP BY 1, 2, 3")
 oracle("u2_distinct_recommendations", """
 SELECT project_id, gate, coalesce(string_agg(advice, ' | ' ORDER BY o, position), '') AS recommendations FROM (SELECT project_id, gate, advice, language_ord AS o, position FROM advised JOIN language_dim USING (language) WHERE advice IS NOT NULL
  QUALIFY row_number() OVER (PARTITION BY project_id, gate, advice ORDER BY language_ord, position) = 1) GROUP BY 1, 2""")
@@ -717,7 +717,7 @@ JOIN (SELECT project_id, count(*) AS n, count(*) FILTER (WHERE status = 'PASS')
 oracle("r6_report_listing", """
 SELECT scan_id, file_name, size, modified, CASE WHEN size < 1024 THEN concat(size, ' B') WHEN size < 1048576 THEN concat(format('{:.1f}', size / 1024), ' KB') ELSE concat(format('{:.1f}', size / 1048576), ' MB') END AS size_text,
   coalesce(status, 'unknown') AS status, round(score, 6) AS score FROM saved LEFT JOIN runs USING (scan_id)""")
-oracle("r7_expired_reports", "SELECT file_name, modified FROM saved WHERE modified < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 2 DAYS")
+oracle("r7_expired_reports", "SELECT file_name, modified FROM saved WHERE modified < TIMESTAMP '2024-02-01 12:00:00' - INTERVAL 2 DAYS")
 oracle("r8_comments_hash", """
 SELECT project_id, substr(md5(concat('{', string_agg(concat('"', gate, '": "', comment, '"'), ', ' ORDER BY gate), '}')), 1, 8) AS comments_hash FROM supplied GROUP BY 1""")
 T["graded_issues"] = """
@@ -771,8 +771,7 @@ FROM (SELECT *, CASE WHEN anyk THEN coalesce(rel, 0) ELSE 0 END AS rk FROM
 QUALIFY position <= 5""")
 oracle("x3_budget_samples", f"""
 SELECT project_id, gate, position, sample, running_chars FROM (SELECT *, {big('sum(length(sample)) OVER (PARTITION BY project_id ORDER BY position)')} AS running_chars FROM
-  (SELECT source AS project_id, 'error_logs' AS gate, doc_id AS position, CASE WHEN length(text) > 2000 THEN concat(substr(text, 1, 2000), '... [truncated]') ELSE text END AS sample FROM documents
-   QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10)) WHERE running_chars <= 15000""")
+  (SELECT source AS project_id, 'error_logs' AS gate, doc_id AS position, CASE WHEN length(text) > 2000 THEN concat(substr(text, 1, 2000), '... [truncated]') ELSE text END AS sample FROM documents)) WHERE running_chars <= 15000""")
 T["answers"] = ANSWER_SQL
 T["gate_totals"] = f"""
 SELECT project_id, gate, {big('sum(expected)')} AS e, {big('sum(found)')} AS n FROM lang_results GROUP BY 1, 2"""

@@ -785,7 +785,7 @@ def r6_report_listing(spark, sf):
 
 @query
 def r7_expired_reports(spark, sf):
-    return R.expired_reports(saved_reports(spark, sf), 2, "2024-01-31 00:00:00").select("file_name", "modified")
+    return R.expired_reports(saved_reports(spark, sf), 2, "2024-02-01 12:00:00").select("file_name", "modified")
 
 
 @query
