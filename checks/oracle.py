@@ -236,7 +236,8 @@ def kw(words):
     return f"count(*) FILTER (WHERE {has('lower(path)', words.split())})"
 
 
-T["stats"] = f"""
+def stats_sql(source, more=""):
+    return f"""
 SELECT project_id, language, count(*) AS files, {big('sum(loc)')} AS loc,
   {kw('service controller handler manager')} AS k1, {kw('service controller handler manager repository dao model entity')} AS k3,
   {kw('controller handler router middleware api web http')} AS k4, {kw('controller handler router api endpoint resource')} AS k5,
@@ -246,7 +247,10 @@ SELECT project_id, language, count(*) AS files, {big('sum(loc)')} AS loc,
   {kw('client service api connector integration external remote')} AS k11, {kw('service controller handler manager repository dao api web')} AS k12,
   {kw('controller handler router api endpoint resource web')} AS k13,
   count(*) FILTER (WHERE NOT {has('lower(path)', ['test', 'spec', '__tests__', 'tests'])}) AS k15
-FROM file_loc GROUP BY ALL"""
+{more}FROM {source} GROUP BY ALL"""
+
+
+T["stats"] = stats_sql("file_loc")
 EXPECT = {
     "structured_logs": "greatest(files // 2, 1) + loc // 100 + 3 * k1",
     "avoid_logging_secrets": "0",
@@ -264,9 +268,13 @@ EXPECT = {
     "ui_error_tools": "1",
     "automated_tests": "greatest(2 * k15, files // 2)",
 }
-T["expect"] = " UNION ALL ".join(
-    f"SELECT project_id, language, '{g}' AS gate, {big(e)} AS expected FROM stats" for g, e in EXPECT.items()
-)
+
+
+def expect_sql(stats):
+    return " UNION ALL ".join(f"SELECT project_id, language, '{g}' AS gate, {big(e)} AS expected FROM {stats}" for g, e in EXPECT.items())
+
+
+T["expect"] = expect_sql("stats")
 
 
 def cnt(words, each, cap):
@@ -303,20 +311,30 @@ BONUS = {
     + " + " + cnt("assert expect should verify toequal tobe".split(), 1, 10),
 }
 T["low_hits"] = "SELECT *, lower(matched_text) AS low FROM hits"
-T["found_per_gate"] = " UNION ALL ".join(
-    f"SELECT project_id, language, '{g}' AS gate, count(*) AS found, {b} AS bonus FROM low_hits WHERE gate = '{g}' GROUP BY project_id, language"
-    for g, b in BONUS.items()
-)
-T["lang_results"] = """
+
+
+def found_sql(low_hits):
+    return " UNION ALL ".join(
+        f"SELECT project_id, language, '{g}' AS gate, count(*) AS found, {b} AS bonus FROM {low_hits} WHERE gate = '{g}' GROUP BY project_id, language"
+        for g, b in BONUS.items()
+    )
+
+
+def results_sql(expect, found):
+    return f"""
 SELECT e.project_id, e.gate, e.language, e.expected, coalesce(f.found, 0) AS found, CAST(coalesce(f.bonus, 0) AS DOUBLE) AS bonus,
   CASE WHEN e.gate = 'avoid_logging_secrets' THEN CAST(greatest(0, 100 - 10 * coalesce(f.found, 0)) AS DOUBLE)
     WHEN e.expected = 0 THEN CASE WHEN coalesce(f.found, 0) = 0 THEN 100.0 ELSE 50.0 END
     ELSE least(least(CAST(coalesce(f.found, 0) AS DOUBLE) / e.expected, 1.0) * 100 + coalesce(f.bonus, 0), 100.0) END AS quality
-FROM expect e LEFT JOIN found_per_gate f USING (project_id, language, gate)"""
+FROM {expect} e LEFT JOIN {found} f USING (project_id, language, gate)"""
+
+
+T["found_per_gate"] = found_sql("low_hits")
+T["lang_results"] = results_sql("expect", "found_per_gate")
 T["gate_dim"] = "SELECT * FROM (VALUES " + rows(
     (g, i, D.WEIGHTS[g], D.CATEGORY_OF[g], D.DISPLAY_NAMES[g]) for i, g in enumerate(D.GATES)
 ) + ") v(gate, gate_ord, weight, gate_category, display_name)"
-LANG_ORD = "CASE language WHEN 'java' THEN 0 WHEN 'python' THEN 1 WHEN 'javascript' THEN 2 WHEN 'typescript' THEN 3 ELSE 4 END"
+LANG_ORD = "CASE language WHEN 'java' THEN 0 WHEN 'python' THEN 1 WHEN 'javascript' THEN 2 WHEN 'typescript' THEN 3 WHEN 'csharp' THEN 4 ELSE 5 END"
 
 
 def mean(value, order, kept="true"):
@@ -324,28 +342,57 @@ def mean(value, order, kept="true"):
     return f"list_reduce(list_prepend(CAST(0 AS DOUBLE), list(CAST({value} AS DOUBLE) ORDER BY {order}) FILTER (WHERE {kept})), lambda a, b: a + b) / nullif(count(*) FILTER (WHERE {kept}), 0)"
 
 
-T["combined"] = f"""
-SELECT project_id, gate, {big('sum(expected)')} AS expected, {big('sum(found)')} AS found, {mean('quality', LANG_ORD)} AS quality_score FROM lang_results GROUP BY project_id, gate"""
-T["covered"] = """
+def combined_sql(results):
+    return f"""
+SELECT project_id, gate, {big('sum(expected)')} AS expected, {big('sum(found)')} AS found, {mean('quality', LANG_ORD)} AS quality_score FROM {results} GROUP BY project_id, gate"""
+
+
+def covered_sql(combined):
+    return f"""
 SELECT *, CASE WHEN expected > 0 THEN CAST(found AS DOUBLE) / expected * 100 WHEN found = 0 THEN 100.0 WHEN gate = 'avoid_logging_secrets' THEN 0.0
     ELSE CAST(greatest(0, 100 - found * 10) AS DOUBLE) END AS coverage,
   CASE WHEN quality_score >= 90 THEN 1.0 WHEN quality_score >= 80 THEN 0.9 WHEN quality_score >= 70 THEN 0.8 WHEN quality_score >= 60 THEN 0.6 ELSE 0.4 END AS multiplier
-FROM combined JOIN gate_dim USING (gate)"""
+FROM {combined} JOIN gate_dim USING (gate)"""
+
+
 FINAL = "least((coverage * CAST(0.7 AS DOUBLE) + quality_score * CAST(0.3 AS DOUBLE)) * weight * multiplier, 100.0)"
-T["scored"] = f"""
+
+
+def scored_sql(covered):
+    return f"""
 SELECT *, CASE WHEN gate = 'avoid_logging_secrets' AND found > 0 THEN 'FAIL' WHEN final_score >= 80 THEN 'PASS' WHEN final_score >= 60 THEN 'WARNING' ELSE 'FAIL' END AS status
-FROM (SELECT *, CAST({FINAL} AS DOUBLE) AS final_score FROM covered)"""
+FROM (SELECT *, CAST({FINAL} AS DOUBLE) AS final_score FROM {covered})"""
 
 
-def ui_sql(source):
-    tags = " + ".join(f"contains(lower(content), {lit(t)})::INT" for t in TD.HTML_TAGS)
+def applied_sql(scored, flags):
+    """Scores of gates that apply; ``flags`` is joined for has_ui and has_jobs."""
     return f"""
-SELECT project_id, bool_or(regexp_matches(lower(path), '({"|".join(s.replace(".", "[.]") for s in TD.UI_SUFFIXES)})$')
+SELECT s.project_id, s.gate, s.gate_ord, s.weight, applicable, CASE WHEN applicable THEN expected ELSE 0 END AS expected, CASE WHEN applicable THEN found ELSE 0 END AS found,
+  CASE WHEN applicable THEN least(greatest(coverage, 0.0), 100.0) ELSE 0.0 END AS coverage, CASE WHEN applicable THEN quality_score ELSE 0.0 END AS quality_score,
+  CASE WHEN applicable THEN final_score ELSE 0.0 END AS final_score, CASE WHEN applicable THEN status ELSE 'NOT_APPLICABLE' END AS status
+FROM (SELECT s.*, CASE WHEN gate IN ('ui_errors', 'ui_error_tools') THEN has_ui WHEN gate = 'log_background_jobs' THEN has_jobs ELSE true END AS applicable
+      FROM {scored} s {flags}) s"""
+
+
+T["combined"] = combined_sql("lang_results")
+T["covered"] = covered_sql("combined")
+T["scored"] = scored_sql("covered")
+
+
+def ui_text_sql():
+    tags = " + ".join(f"contains(lower(content), {lit(t)})::INT" for t in TD.HTML_TAGS)
+    return f"""(regexp_matches(lower(path), '({"|".join(s.replace(".", "[.]") for s in TD.UI_SUFFIXES)})$')
   OR {has_re('content', TD.UI_PATTERNS, '(?im)')} OR ({has_re('content', TD.HTML_PATTERNS, '(?im)')} AND {tags} >= 2)
-  OR ({has_re('content', TD.SCRIPT_PATTERNS, '(?im)')} AND {has('lower(content)', TD.BROWSER_WORDS)} AND NOT {has('lower(content)', TD.SERVER_WORDS)})
-  OR {" OR ".join(f"starts_with(path, '{d}/')" for d in TD.UI_DIRS)}
-  OR (path = 'package.json' AND {has('lower(content)', [q + p + q for p in TD.UI_PACKAGES for q in ('"', "'")])})) AS has_ui
-FROM {source} GROUP BY 1"""
+  OR ({has_re('content', TD.SCRIPT_PATTERNS, '(?im)')} AND {has('lower(content)', TD.BROWSER_WORDS)} AND NOT {has('lower(content)', TD.SERVER_WORDS)}))"""
+
+
+def ui_tree_sql():
+    return f"""({" OR ".join(f"starts_with(path, '{d}/')" for d in TD.UI_DIRS)}
+  OR (path = 'package.json' AND {has('lower(content)', [q + p + q for p in TD.UI_PACKAGES for q in ('"', "'")])}))"""
+
+
+def ui_sql(source):
+    return f"SELECT project_id, bool_or({ui_text_sql()} OR {ui_tree_sql()}) AS has_ui FROM {source} GROUP BY 1"
 
 
 def jobs_sql(source):
@@ -354,14 +401,15 @@ def jobs_sql(source):
 
 T["c1_ui"] = ui_sql("c1_texts")
 T["c1_jobs"] = jobs_sql("c1_texts")
-T["final"] = """
-SELECT s.project_id, s.gate, s.gate_ord, s.weight, applicable, CASE WHEN applicable THEN expected ELSE 0 END AS expected, CASE WHEN applicable THEN found ELSE 0 END AS found,
-  CASE WHEN applicable THEN least(greatest(coverage, 0.0), 100.0) ELSE 0.0 END AS coverage, CASE WHEN applicable THEN quality_score ELSE 0.0 END AS quality_score,
-  CASE WHEN applicable THEN final_score ELSE 0.0 END AS final_score, CASE WHEN applicable THEN status ELSE 'NOT_APPLICABLE' END AS status
-FROM (SELECT s.*, CASE WHEN gate IN ('ui_errors', 'ui_error_tools') THEN has_ui WHEN gate = 'log_background_jobs' THEN has_jobs ELSE true END AS applicable
-      FROM scored s JOIN c1_ui USING (project_id) JOIN c1_jobs USING (project_id)) s"""
-T["overall"] = f"""
-SELECT project_id, coalesce({mean('final_score', 'gate_ord', "status IN ('PASS', 'WARNING', 'FAIL', 'FAILED')")}, 0.0) AS overall_score FROM final GROUP BY 1"""
+T["final"] = applied_sql("scored", "JOIN c1_ui USING (project_id) JOIN c1_jobs USING (project_id)")
+
+
+def overall_sql(final):
+    return f"""
+SELECT project_id, coalesce({mean('final_score', 'gate_ord', "status IN ('PASS', 'WARNING', 'FAIL', 'FAILED')")}, 0.0) AS overall_score FROM {final} GROUP BY 1"""
+
+
+T["overall"] = overall_sql("final")
 T["findings"] = f"""
 SELECT project_id, list_filter([CASE WHEN nf > 5 THEN concat('Multiple gate failures detected (', nf, ' gates failed)') END, CASE WHEN overall_score < 50 THEN {lit(D.LOW_SCORE_ISSUE)} END,
     CASE WHEN leak THEN {lit(D.SECRETS_ISSUE)} END], lambda x: x IS NOT NULL) AS critical_issues,
@@ -445,8 +493,8 @@ def signs(lang, head):
     return " + ".join(f"regexp_matches({head}, {lit(p)})::INT" for p in LG.CONTENT_PATTERNS[lang])
 
 
-GUESS = "coalesce(" + ", ".join(f"CASE WHEN {signs(lang, 'substr(content, 1, 1024)')} >= 2 THEN '{lang}' END" for lang in LG.CONTENT_PATTERNS) + ")"
-SIGNS = "CASE language " + " ".join(f"WHEN '{lang}' THEN {signs(lang, 'substr(content, 1, 2048)')}" for lang in LG.CONTENT_PATTERNS) + " ELSE 0 END"
+GUESS = "coalesce(" + ", ".join(f"CASE WHEN {signs(lang, 'content')} >= 2 THEN '{lang}' END" for lang in LG.CONTENT_PATTERNS) + ")"
+SIGNS = "CASE language " + " ".join(f"WHEN '{lang}' THEN {signs(lang, 'content')}" for lang in LG.CONTENT_PATTERNS) + " ELSE 0 END"
 T["any_files"] = "SELECT project_id, path, ext, content FROM tree UNION ALL SELECT project_id, path, ext, content FROM texts"
 T["any_classified"] = f"SELECT *, coalesce({KNOWN}, {GUESS}) AS language FROM any_files"
 oracle("l1_file_language", "SELECT project_id, path, language FROM any_classified")
@@ -459,23 +507,77 @@ FROM (SELECT project_id, language, count(*) AS file_count, sum({SIGNS}) AS conte
 T["classified"] = f"SELECT *, coalesce({KNOWN}, {GUESS}) AS language FROM tree"
 T["scanned"] = f"SELECT *, {SIGNS} AS signs FROM classified WHERE path IN (SELECT path FROM pruned_tree) AND size <= 1048576"
 T["language_dim"] = "SELECT * FROM (VALUES " + rows((r["language"], i) for i, r in enumerate(LG.LANGUAGES)) + ") v(language, language_ord)"
-T["language_stats"] = f"""
+
+
+def language_stats_sql(scanned):
+    return f"""
 SELECT p.project_id, d.language, d.language_ord, count(s.language) AS file_count, {big('coalesce(sum(s.signs), 0)')} AS content_matches, any_value(coalesce(c.has_config, false)) AS has_config,
   CAST(least(least(count(s.language) * 2, 40) + least(coalesce(sum(s.signs), 0) * 3, 40) + CASE WHEN any_value(coalesce(c.has_config, false)) THEN 20 ELSE 0 END, 100) AS DOUBLE) AS confidence
-FROM (SELECT DISTINCT project_id FROM scanned) p CROSS JOIN language_dim d
-LEFT JOIN scanned s ON s.project_id = p.project_id AND s.language = d.language
-LEFT JOIN ({" UNION ALL ".join(f"SELECT project_id, '{lang}' AS language, bool_or({manifest(lang)}) AS has_config FROM scanned GROUP BY 1" for lang in LG.MANIFESTS)}) c
+FROM (SELECT DISTINCT project_id FROM {scanned}) p CROSS JOIN language_dim d
+LEFT JOIN {scanned} s ON s.project_id = p.project_id AND s.language = d.language
+LEFT JOIN ({" UNION ALL ".join(f"SELECT project_id, '{lang}' AS language, bool_or({manifest(lang)}) AS has_config FROM {scanned} GROUP BY 1" for lang in LG.MANIFESTS)}) c
   ON c.project_id = p.project_id AND c.language = d.language
 GROUP BY 1, 2, 3"""
-oracle("l6_language_statistics", "SELECT project_id, language, file_count, content_matches, has_config, confidence FROM language_stats")
-T["detected"] = """
-SELECT project_id, language, language_ord, confidence FROM language_stats WHERE confidence >= 30
-UNION ALL SELECT project_id, language, language_ord, confidence FROM (SELECT * FROM language_stats WHERE project_id NOT IN (SELECT project_id FROM language_stats WHERE confidence >= 30)
+
+
+def detected_sql(stats):
+    return f"""
+SELECT project_id, language, language_ord, confidence FROM {stats} WHERE confidence >= 30
+UNION ALL SELECT project_id, language, language_ord, confidence FROM (SELECT * FROM {stats} WHERE project_id NOT IN (SELECT project_id FROM {stats} WHERE confidence >= 30)
   QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY file_count DESC, language_ord) = 1) WHERE file_count > 0"""
+
+
+T["language_stats"] = language_stats_sql("scanned")
+oracle("l6_language_statistics", "SELECT project_id, language, file_count, content_matches, has_config, confidence FROM language_stats")
+T["detected"] = detected_sql("language_stats")
 oracle("l7_detect_languages", "SELECT project_id, language, confidence FROM detected")
 oracle("l8_primary_language", """
 SELECT project_id, coalesce(first, 'python') AS language FROM (SELECT DISTINCT project_id FROM tree) LEFT JOIN (SELECT project_id, arg_min(language, language_ord) AS first FROM detected GROUP BY 1) USING (project_id)""")
 
+# ---------------------------------------------------------------- the scan of files
+
+T["s1_files"] = "SELECT project_id, path, file_name, ext, size, content FROM tree UNION ALL SELECT project_id, path, file_name, ext, size, content FROM texts"
+T["s1_typed"] = f"SELECT *, coalesce({KNOWN}, {GUESS}) AS language FROM s1_files"
+T["s1_detecting"] = f"""
+SELECT *, {SIGNS} AS signs FROM s1_typed WHERE len(list_intersect(string_split(path, '/')[1:-2], [{', '.join(map(lit, LG.SKIPPED_DIRS))}])) = 0"""
+T["s1_language_stats"] = language_stats_sql("s1_detecting")
+T["s1_detected"] = detected_sql("s1_language_stats")
+T["s1_suffixes"] = "SELECT * FROM (VALUES " + rows((r["language"], x) for r in LG.LANGUAGES for x in r["scan_suffixes"]) + ") v(language, suffix)"
+T["s1_globs"] = "SELECT * FROM (VALUES " + rows((r["language"], x) for r in LG.LANGUAGES for x in r["search_suffixes"] or [""]) + ") v(language, suffix)"
+T["s1_counted"] = f"""
+SELECT project_id, path, content, d.language, {big(f"len(list_filter(string_split(content, {LF}), lambda x: {strip('x')} <> ''))")} AS loc,
+  {ui_text_sql()} AS ui, {has_re('content', TD.BACKGROUND_PATTERNS, '(?im)')} AS jobs
+FROM s1_files f JOIN s1_suffixes x ON ends_with(f.file_name, x.suffix) JOIN s1_detected d USING (project_id, language)"""
+T["s1_stats"] = stats_sql("s1_counted", ", bool_or(ui) AS ui, bool_or(jobs) AS jobs ")
+# Every used language has a row, also without files; the expected counts of such a row are 0.
+T["s1_every"] = "SELECT project_id, language, s.* EXCLUDE (project_id, language) FROM s1_detected LEFT JOIN s1_stats s USING (project_id, language)"
+T["s1_expect"] = f"SELECT project_id, language, gate, CASE WHEN coalesce(s.files, 0) = 0 THEN 0 ELSE expected END AS expected FROM ({expect_sql('s1_every')}) JOIN s1_every s USING (project_id, language)"
+T["s1_lines"] = f"""
+SELECT project_id, path, d.language, unnest(string_split(content, {LF})) AS line
+FROM s1_files f JOIN s1_globs g ON CASE WHEN g.suffix = '' THEN contains(f.file_name, '.') ELSE f.ext = g.suffix END JOIN s1_detected d USING (project_id, language)"""
+T["s1_low_hits"] = """
+WITH kinds AS (SELECT DISTINCT language, line FROM s1_lines),
+found AS (SELECT line, r.language, r.gate, lower(regexp_extract(line, '(?is)' || r.pattern, 0)) AS low FROM kinds JOIN all_rules r USING (language) WHERE regexp_matches(line, '(?is)' || r.pattern))
+SELECT project_id, path, language, gate, low FROM s1_lines JOIN found USING (language, line)"""
+T["s1_found"] = found_sql("s1_low_hits")
+T["s1_results"] = results_sql("s1_expect", "s1_found")
+T["s1_combined"] = combined_sql("s1_results")
+T["s1_covered"] = covered_sql("s1_combined")
+T["s1_scored"] = scored_sql("s1_covered")
+T["s1_flags"] = f"""
+SELECT project_id, bool_or(coalesce(ui, false)) OR any_value(tree) AS has_ui, bool_or(coalesce(jobs, false)) AS has_jobs
+FROM s1_every JOIN (SELECT project_id, bool_or({ui_tree_sql()}) AS tree FROM s1_files GROUP BY 1) USING (project_id) GROUP BY 1"""
+T["s1_final"] = applied_sql("s1_scored", "JOIN s1_flags USING (project_id)")
+oracle("s1_scan_scores", f"""
+SELECT project_id, gate, expected, found, {r6('coverage')} AS coverage, {r6('quality_score')} AS quality_score, {r6('final_score')} AS final_score, status FROM s1_final""")
+T["s1_overall"] = overall_sql("s1_final")
+oracle("s1_scan_summary", f"""
+SELECT project_id, language, total_files, total_lines, {r6('overall_score')} AS overall_score, passed_gates, warning_gates, failed_gates, not_applicable_gates FROM s1_overall
+JOIN (SELECT project_id, arg_min(language, language_ord) AS language FROM s1_detected GROUP BY 1) USING (project_id)
+JOIN (SELECT project_id, {big('sum(coalesce(files, 0))')} AS total_files, {big('sum(coalesce(loc, 0))')} AS total_lines FROM s1_every GROUP BY 1) USING (project_id)
+JOIN (SELECT project_id, count(*) FILTER (WHERE status = 'PASS') AS passed_gates, count(*) FILTER (WHERE status = 'WARNING') AS warning_gates,
+        count(*) FILTER (WHERE status IN ('FAIL', 'FAILED')) AS failed_gates, count(*) FILTER (WHERE status = 'NOT_APPLICABLE') AS not_applicable_gates FROM s1_final GROUP BY 1) USING (project_id)""")
+
 # ---------------------------------------------------------------- matching
 
 oracle("m1_match_lines", f"SELECT {KEY}, gate, language FROM hits")

@@ -93,6 +93,23 @@ KEY = ["project_id", "path", "line_no", "rule_id"]
 # ---------------------------------------------------------------- sources and sinks
 
 
+def tree_scan(spark, sf):
+    """The scan of all trees and texts as files."""
+    names = ["project_id", "path", "file_name", "ext", "size", "content"]
+    files = C.tree_files(spark, sf).select(*names).unionByName(C.text_files(spark, sf).select(*names))
+    return _once(spark, sf, "tree scan", lambda: SC.scan_files(files))
+
+
+@query
+def s1_scan_scores(spark, sf):
+    return tree_scan(spark, sf).scores.drop("gate_ord")
+
+
+@query
+def s1_scan_summary(spark, sf):
+    return tree_scan(spark, sf).summary
+
+
 @query
 def s2_files_from_table(spark, sf):
     return C.text_files(spark, sf).select("project_id", "path", "file_name", "ext", "size", "language")
@@ -229,8 +246,7 @@ def l1_file_language(spark, sf):
 
 @query
 def l2_content_score(spark, sf):
-    heads = L.head_of_files(lines(spark, sf))
-    return L.content_score(heads)
+    return L.content_score_of_lines(lines(spark, sf))
 
 
 @query
@@ -245,9 +261,8 @@ def l4_config_presence(spark, sf):
 
 @query
 def l5_language_confidence(spark, sf):
-    heads = L.head_of_files(lines(spark, sf))
-    signs = heads.groupBy("project_id", "language").agg(
-        F.count(F.lit(1)).alias("file_count"), F.sum(L.content_hits()).alias("content_matches")
+    signs = L.signs_of_lines(lines(spark, sf)).groupBy("project_id", "language").agg(
+        F.count(F.lit(1)).alias("file_count"), F.sum("content_matches").alias("content_matches")
     )
     names = C.code_files(spark, sf).select("project_id", "file_name").unionByName(C.tree_files(spark, sf).select("project_id", "file_name"))
     known = signs.join(L.config_presence(names), ["project_id", "language"], "left").withColumn("has_config", F.coalesce("has_config", F.lit(False)))

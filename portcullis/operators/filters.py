@@ -25,19 +25,27 @@ def _literals(patterns):
 
 def exclude_paths(files: DataFrame, patterns, path="path") -> DataFrame:
     """Drops files whose path contains a pattern as text or matches it as a shell pattern."""
+    return files.where(~exclude_test(patterns, path))
+
+
+def exclude_test(patterns, path="path"):
+    """Does a path contain a pattern as text or match it as a shell pattern?"""
     test = F.lit(False)
     for p in _literals(patterns):
         test = test | col(path).contains(p)
         if set(p) & set("*?"):
             test = test | col(path).rlike(glob_regex(p))
-    return files.where(~test)
+    return test
 
 
 def include_paths(files: DataFrame, patterns, path="path") -> DataFrame:
     """Keeps files that match one of the shell patterns; no patterns keep all."""
-    if not patterns:
-        return files
-    return files.where(col(path).rlike("|".join(glob_regex(p) for p in patterns)))
+    return files.where(include_test(patterns, path)) if patterns else files
+
+
+def include_test(patterns, path="path"):
+    """Does a path match one of the shell patterns? Without patterns, every path does."""
+    return col(path).rlike("|".join(glob_regex(p) for p in patterns)) if patterns else F.lit(True)
 
 
 def max_file_size(files: DataFrame, limit=1024 * 1024) -> DataFrame:
@@ -47,8 +55,13 @@ def max_file_size(files: DataFrame, limit=1024 * 1024) -> DataFrame:
 
 def prune_dirs(files: DataFrame, names=SKIPPED_DIRS) -> DataFrame:
     """Drops files below a version control or build directory, at any depth."""
+    return files.where(~below_dirs(names))
+
+
+def below_dirs(names=SKIPPED_DIRS):
+    """Does a path lie below one of the directories, at any depth?"""
     dirs = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
-    return files.where(~F.arrays_overlap(dirs, F.array(*[F.lit(n) for n in names])))
+    return F.arrays_overlap(dirs, F.array(*[F.lit(n) for n in names]))
 
 
 def project_name(url, fallback):

@@ -35,22 +35,29 @@ def lines_of_code(text):
     return F.size(F.filter(F.split(text, "\n", -1), lambda x: ~is_blank(x))).cast("bigint")
 
 
-def _named(spec):
+def name_counters(gates=None):
+    """The counters of file names that expected counts need: column name -> words, and whether they must be absent."""
+    counters = {}
+    for gate in gates or D.GATES:
+        spec = D.EXPECTED[gate]
+        if spec["words"]:
+            counters[f"named_{gate}"] = (spec["words"].split(), bool(spec.get("without")))
+        if "fallback" in spec:
+            counters[f"other_{gate}"] = (spec["fallback"][0].split(), False)
+    return counters
+
+
+def name_tests(gates=None):
+    """What the path of a file says for the expected counts: column name -> test."""
     low = F.lower("path")
-    test = has_any(low, spec["words"].split())
-    return F.count_if(~test if spec.get("without") else test)
+    named = {name: (has_any(low, words), without) for name, (words, without) in name_counters(gates).items()}
+    return {name: ~test if without else test for name, (test, without) in named.items()}
 
 
 def file_statistics(analyses: DataFrame, gates=None) -> DataFrame:
     """Files, lines and name counts per project and language."""
     aggs = [F.count(F.lit(1)).alias("files"), F.sum("lines_of_code").cast("bigint").alias("loc")]
-    low = F.lower("path")
-    for gate in gates or D.GATES:
-        spec = D.EXPECTED[gate]
-        if spec["words"]:
-            aggs.append(_named(spec).alias(f"named_{gate}"))
-        if "fallback" in spec:
-            aggs.append(F.count_if(has_any(low, spec["fallback"][0].split())).alias(f"other_{gate}"))
+    aggs += [F.count_if(test).alias(name) for name, test in name_tests(gates).items()]
     # Flags of files, if the analyses hold them, become flags of the language.
     aggs += [F.bool_or(flag).alias(flag) for flag in FLAGS if flag in analyses.columns]
     return analyses.groupBy("project_id", "language").agg(*aggs)
@@ -95,22 +102,31 @@ def _fits(bonus, low):
     return has_any(low, bonus["words"])
 
 
-def found_counts(hits: DataFrame, gates=None) -> DataFrame:
-    """Found hits, distinct files and the counts behind every bonus, per project, gate and language.
+def bonus_width(gates=None):
+    return max(len(D.BONUSES[g]) for g in gates or D.GATES)
 
-    Hits are first reduced per file. Bonus tests of other gates are skipped per row.
-    """
+
+def bonus_tests(gates=None):
+    """Does a hit count for the first, second ... bonus of its gate? Tests of other gates are skipped per row."""
     gates = gates or D.GATES
-    width = max(len(D.BONUSES[g]) for g in gates)
-    low = F.lower("matched_text")
-    counters = []
-    for i in range(width):
+    low, counters = F.lower("matched_text"), []
+    for i in range(bonus_width(gates)):
         test = None
         for g in gates:
             if i < len(D.BONUSES[g]) and "files" not in D.BONUSES[g][i]:
                 here, fits = F.col("gate") == g, _fits(D.BONUSES[g][i], low)
                 test = F.when(here, fits) if test is None else test.when(here, fits)
         counters.append(F.lit(False) if test is None else F.coalesce(test, F.lit(False)))
+    return counters
+
+
+def found_counts(hits: DataFrame, gates=None) -> DataFrame:
+    """Found hits, distinct files and the counts behind every bonus, per project, gate and language.
+
+    Hits are first reduced per file.
+    """
+    counters = bonus_tests(gates)
+    width = len(counters)
     per_file = hits.groupBy(*GATE_KEYS, "path").agg(
         F.count(F.lit(1)).alias("found"), *[F.count_if(c).alias(f"bonus_{i}") for i, c in enumerate(counters)]
     )

@@ -2,10 +2,11 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..dims.languages import CLASSIFY_CHARS, CONTENT_PATTERNS, LANGUAGE_ORD, LANGUAGES, MANIFESTS, SCORE_CHARS
+from ..dims.languages import CONTENT_PATTERNS, LANGUAGE_ORD, LANGUAGES, MANIFESTS
+from ..functions.blocks import reach, text_blocks
 from ..functions.patterns import PLAIN
 from ..functions.ranking import top_per
-from ..functions.tables import computed_once, fixed_table
+from ..functions.tables import computed_once
 from ..functions.text import col, lookup
 from ..sources.files import known_language, manifest_test
 
@@ -19,10 +20,13 @@ def _hits(head, patterns):
     return total
 
 
-def file_language(files: DataFrame) -> DataFrame:
-    """Language by suffix, else by two signs of a language in the first 1024 characters."""
+def file_language(files: DataFrame, chars=None) -> DataFrame:
+    """Language by suffix, else by two signs of a language in the text; ``chars`` reads only so many characters.
+
+    ``chars=dims.languages.CLASSIFY_CHARS`` gives the known short reading.
+    """
     # The head is a column of its own, so that it is cut once and not once per pattern.
-    headed = files.withColumn("_head", F.substring("content", 1, CLASSIFY_CHARS))
+    headed = files.withColumn("_head", F.col("content") if chars is None else F.substring("content", 1, chars))
     head = F.col("_head")
     guess = F.coalesce(
         *[F.when(_hits(head, patterns) >= 2, F.lit(lang)) for lang, patterns in CONTENT_PATTERNS.items()]
@@ -33,9 +37,9 @@ def file_language(files: DataFrame) -> DataFrame:
     return named.drop("_head")
 
 
-def content_hits(language="language", content="content"):
-    """How many signs of its language the first 2048 characters of a file show."""
-    head, out = F.substring(F.col(content), 1, SCORE_CHARS), F.lit(0)
+def content_hits(language="language", content="content", chars=None):
+    """How many signs of its language a file shows; ``chars`` reads only so many characters (known: dims.languages.SCORE_CHARS)."""
+    head, out = F.col(content) if chars is None else F.substring(F.col(content), 1, chars), F.lit(0)
     tests = [(F.col(language) == lang, _hits(head, ps)) for lang, ps in CONTENT_PATTERNS.items()]
     out = F.when(*tests[0])
     for test, value in tests[1:]:
@@ -43,24 +47,37 @@ def content_hits(language="language", content="content"):
     return F.coalesce(out, F.lit(0))
 
 
-def head_of_files(lines: DataFrame, chars=SCORE_CHARS) -> DataFrame:
-    """The first characters of every file of a line table. At most ``chars`` lines of a file are gathered."""
-    near = lines.where(F.col("line_no") <= chars).select(
-        "project_id", "path", "language",
-        F.struct(F.col("line_no"), F.substring("line", 1, chars).alias("line")).alias("_l"),
-    )
-    grouped = near.groupBy("project_id", "path", "language").agg(F.sort_array(F.collect_list("_l")).alias("_ls"))
-    text = F.array_join(F.transform("_ls", lambda x: x["line"]), "\n")
-    return grouped.select("project_id", "path", "language", F.substring(text, 1, chars).alias("content"))
-
+def signs_of_lines(lines: DataFrame) -> DataFrame:
+    """How many signs of its language each file of a line table shows (``content_matches``), as in the whole file.
 
-def content_score(files: DataFrame) -> DataFrame:
+    Files are read in blocks of bounded size with a few lines before them, since a sign may go over line breaks. One
+    bit stands for each sign, so that the blocks of a file add up whatever their order.
+    """
+    blocks = text_blocks(lines, reach([p for ps in CONTENT_PATTERNS.values() for p in ps]))
+    bits = None
+    for lang, patterns in CONTENT_PATTERNS.items():
+        value = F.lit(0)
+        for i, p in enumerate(patterns):
+            value = value + F.when(F.col("whole").rlike(PLAIN + p), 1 << i).otherwise(0)
+        test = F.col("language") == lang
+        bits = F.when(test, value) if bits is None else bits.when(test, value)
+    found = blocks.groupBy("project_id", "path", "language").agg(F.bit_or(F.coalesce(bits, F.lit(0))).alias("_bits"))
+    return found.select("project_id", "path", "language", F.bit_count("_bits").alias("content_matches"))
+
+
+def content_score(files: DataFrame, chars=None) -> DataFrame:
     """Signs summed per project and language."""
-    return (
-        files.where(F.col("language").isNotNull())
-        .groupBy("project_id", "language")
-        .agg(F.sum(content_hits()).cast("bigint").alias("content_matches"))
-    )
+    return _score(files.select("project_id", "language", content_hits(chars=chars).alias("content_matches")))
+
+
+def content_score_of_lines(lines: DataFrame) -> DataFrame:
+    """The same for a line table."""
+    return _score(signs_of_lines(lines))
+
+
+def _score(signs: DataFrame) -> DataFrame:
+    known = signs.where(F.col("language").isNotNull())
+    return known.groupBy("project_id", "language").agg(F.sum("content_matches").cast("bigint").alias("content_matches"))
 
 
 def extension_histogram(files: DataFrame, keys=("project_id",)) -> DataFrame:
@@ -78,14 +95,18 @@ def config_presence(files: DataFrame) -> DataFrame:
 
 
 def confidence(file_count="file_count", content_matches="content_matches", has_config="has_config"):
-    files, content, config = F.col(file_count), F.col(content_matches), col(has_config)
+    return confidence_of(F.col(file_count), F.col(content_matches), col(has_config))
+
+
+def confidence_of(files, content, config):
+    """0 to 100 from a language's files, signs and manifest."""
     total = (
         F.least(files * 2, F.lit(40)) + F.least(content * 3, F.lit(40)) + F.when(config, F.lit(20)).otherwise(F.lit(0))
     )
     return F.least(total, F.lit(100)).cast("double")
 
 
-def language_statistics(files: DataFrame) -> DataFrame:
+def language_statistics(files: DataFrame, chars=None) -> DataFrame:
     """Six rows per project: files, signs, manifest and confidence, also where all are zero.
 
     One pass and one shuffle: every count of a project is an aggregate of the same group.
@@ -103,7 +124,7 @@ def language_statistics(files: DataFrame) -> DataFrame:
                 F.coalesce(config, F.lit(False)).alias("has_config"),
             )
         )
-    grouped = files.withColumn("_signs", content_hits()).groupBy("project_id").agg(F.array(*aggs).alias("_all"))
+    grouped = files.withColumn("_signs", content_hits(chars=chars)).groupBy("project_id").agg(F.array(*aggs).alias("_all"))
     return grouped.select("project_id", F.inline("_all")).withColumn("confidence", confidence())
 
 
@@ -129,11 +150,6 @@ def primary_language(projects: DataFrame, detected: DataFrame) -> DataFrame:
     )
 
 
-def language_table(spark):
-    rows = [(row["language"], i) for i, row in enumerate(LANGUAGES)]
-    return fixed_table(spark, "language string, language_ord int", rows)
-
-
 def first_files(files: DataFrame, cap=None) -> DataFrame:
     """The first files by path per project and language; ``cap=None`` keeps all."""
     return files if cap is None else top_per(files, ["project_id", "language"], ["path"], cap).drop("rank")

@@ -100,10 +100,10 @@ def _by_language(shapes, make, otherwise):
     return f"CASE {' '.join(whens)} ELSE {otherwise} END" if whens else otherwise
 
 
-def search_lines(lines: DataFrame, rules=None) -> DataFrame:
+def search_lines(lines: DataFrame, rules=None, also=None) -> DataFrame:
     """Every line with every rule that matches it: the columns of ``lines``, rule_no, matched_text.
 
-    Rules are numbered as in ``order_rules``. The expression is written as SQL text, which keeps the
+    Rows for which ``also`` holds are kept without a hit; they must be without a language. Rules are numbered as in ``order_rules``. The expression is written as SQL text, which keeps the
     planning of many rules short.
     """
     rules = order_rules(rules)
@@ -126,13 +126,14 @@ def search_lines(lines: DataFrame, rules=None) -> DataFrame:
     none = f"CAST(array() AS {HIT_TYPE})"
     with_calls = [(names, paired(listed)) for names, listed in shapes if paired(listed)]
     no_calls = f"CAST(array() AS {CALL_TYPE})"
+    hit = (F.col("_hit.matched_text") != "") & F.col("_hit.rule_no").isNotNull()
     found = (
         lines.withColumn("_low", folded("line"))
         .withColumn("_calls", F.expr(_by_language(with_calls, _calls, no_calls)))
         .withColumn("_hits", F.expr(_by_language(shapes, hits, none)))
         # The outer form, because for the inner one the optimizer adds a filter that runs the search twice.
         .withColumn("_hit", F.explode_outer("_hits"))
-        .where((F.col("_hit.matched_text") != "") & F.col("_hit.rule_no").isNotNull())
+        .where(hit if also is None else also | hit)
     )
     offset = lookup("language", offsets, 0) if offsets else F.lit(0)
     return found.select(*keep, (F.col("_hit.rule_no") + offset).alias("rule_no"), "_hit.matched_text")

@@ -1,14 +1,17 @@
 """Technologies, user interface and background jobs of a project, and the gates that apply to it.
 
 The operators work on any table with project_id, path, language and a text column: whole files or
-single lines. Flags of a file are combined with ``bool_or``, so nothing is gathered per project.
+single lines. Flags of a file are combined with ``bool_or``, so nothing is gathered per project. Line tables give the
+rows of whole files: most signs cannot go over a line break, and for those that can, blocks of lines pass on what their
+last line has begun.
 """
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..dims import gates as D, technologies as T
+from ..functions.blocks import BLOCK
 from ..functions.patterns import WHOLE_TEXT, guarded, guarded_list
 from ..functions.ranking import top_per
 from ..functions.text import folded, has_any
@@ -115,6 +118,51 @@ def _any_of(names):
     return [F.bool_or(n).alias(n) for n in names]
 
 
+#: What may stand at the end of one line and at the beginning of the next one with text.
+CROSSING = [p.split(r"\s+") for p in T.UI_PATTERNS if r"\s" in p]
+
+
+def _line_code(text):
+    """A line's number with what it begins and what it ends, in one number; null for blank lines."""
+    bits = lambda regexes: reduce(lambda a, b: a + b, [F.when(F.col(text).rlike(WHOLE_TEXT + r), 1 << i).otherwise(0) for i, r in enumerate(regexes)])
+    begun = bits([rf"{before}\s*\z" for before, _ in CROSSING])
+    ended = bits([rf"\A\s*{after}" for _, after in CROSSING])
+    n = len(CROSSING)
+    code = F.shiftleft(F.col("line_no").cast("bigint"), 2 * n) + F.shiftleft(begun, n) + ended
+    return F.when(~F.col(text).rlike(r"(?U)\A\s*\z"), code)
+
+
+def _goes_on(first, second):
+    """Does the second line end what the first one begins?"""
+    n = len(CROSSING)
+    some = (1 << n) - 1
+    return F.shiftright(first, n).bitwiseAND(second).bitwiseAND(F.lit(some)) != 0
+
+
+def file_marks(rows: DataFrame, text="content", keys=("project_id", "path"), lines_of_code=None) -> DataFrame:
+    """The marks of every file, of whole texts or of a line table (with line_no).
+
+    Of a line table, blocks of lines are aggregated first: marks, and a number for each line with text. Neighbours are
+    compared inside a block; the last number of a block is carried to the next one that has text.
+    """
+    more = [] if lines_of_code is None else [lines_of_code.alias("lines_of_code")]
+    flags, total = [*UI_MARKS, "has_jobs"], [F.sum("lines_of_code").cast("bigint").alias("lines_of_code")] if more else []
+    if "line_no" not in rows.columns:
+        return with_marks(rows, text, *keys, *more).groupBy(*keys).agg(*_any_of(flags), *total)
+    block = F.floor(F.col("line_no") / BLOCK).alias("_block")
+    marked = with_marks(rows, text, *keys, *more, block, _line_code(text).alias("_code"))
+    blocks = marked.groupBy(*keys, "_block").agg(*_any_of(flags), *total, F.sort_array(F.collect_list("_code")).alias("_codes"))
+    pairs = F.zip_with(F.slice("_codes", 1, F.greatest(F.size("_codes") - 1, F.lit(0))), F.slice("_codes", 2, F.greatest(F.size("_codes"), F.lit(0))), _goes_on)
+    own = blocks.select(
+        *keys, "_block", *flags, *(["lines_of_code"] if more else []), F.exists(pairs, lambda x: x).alias("_inside"),
+        F.get("_codes", F.lit(0)).alias("_first"), F.try_element_at("_codes", F.lit(-1)).alias("_last"),
+    )
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = own.withColumn("_before", F.last("_last", ignorenulls=True).over(earlier))
+    crossed = F.col("_inside") | F.coalesce(_goes_on(F.col("_before"), F.col("_first")), F.lit(False))
+    return carried.withColumn("ui_text", F.col("ui_text") | crossed).groupBy(*keys).agg(*_any_of(flags), *total)
+
+
 def ui_verdict():
     """Does a file (with its marks) show a user interface: by suffix, by text or by directory?"""
     tags = sum((F.col(f"tag_{i}").cast("int") for i in range(1, len(T.HTML_TAGS))), F.col("tag_0").cast("int"))
@@ -134,8 +182,7 @@ def file_facts(rows: DataFrame, text="content", lines_of_code=None) -> DataFrame
     ``lines_of_code`` is the number a row of text adds.
     """
     keys = ["project_id", "path", "language"]
-    marked = with_marks(rows, text, *keys, lines_of_code.alias("lines_of_code"))
-    grouped = marked.groupBy(*keys).agg(*_any_of([*UI_MARKS, "has_jobs"]), F.sum("lines_of_code").cast("bigint").alias("lines_of_code"))
+    grouped = file_marks(rows, text, keys, lines_of_code)
     return grouped.select(*keys, "lines_of_code", "has_jobs", ui_verdict().alias("has_ui"))
 
 
@@ -152,7 +199,7 @@ def ui_packages(files: DataFrame, text="content") -> DataFrame:
 
 def has_ui_components(files: DataFrame, text="content") -> DataFrame:
     """Per project: does it have a user interface?"""
-    per_file = with_marks(files, text, "project_id", "path").groupBy("project_id", "path").agg(*_any_of(UI_MARKS))
+    per_file = file_marks(files, text)
     per_project = per_file.groupBy("project_id").agg(F.bool_or(ui_verdict()).alias("_files"))
     return per_project.join(ui_packages(files, text), "project_id", "left").select(
         "project_id", (F.col("_files") | F.coalesce("by_package", F.lit(False))).alias("has_ui")

@@ -1,8 +1,8 @@
 """The whole scan: lines or files in, gate scores and project summaries out.
 
-A scan is one pass over the text for file facts and one for the search. Everything after is a chain of
-small aggregates: language results, gate scores, project summaries. Each is derived from the one before,
-so persisting or writing ``results`` makes all later tables cheap.
+A scan of files is one pass over the text; one of a line table reads it for file facts and for the search. Everything
+after is a chain of small aggregates: language results, gate scores, project summaries. Each is derived from the one
+before, so persisting or writing ``results`` makes all later tables cheap.
 """
 
 from __future__ import annotations
@@ -13,9 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..dims.gates import GATE_ORD
 from ..functions.text import is_blank, lookup
-from ..operators import gates as G, languages as L, matching as M, scoring as A, technology as T
-from ..operators.filters import exclude_paths, include_paths, max_file_size, prune_dirs
-from ..sources.files import explode_lines, search_languages
+from ..operators import entries as E, gates as G, languages as L, matching as M, scoring as A, technology as T
 
 
 @dataclass
@@ -81,28 +79,17 @@ def scan_lines(lines: DataFrame, rules=None, compat=False, gates=None, cap=None)
 
 def scan_files(
     files: DataFrame, rules=None, exclude=(), include=(), max_size=None, languages=None, compat=False,
-    cap=None, search_scope="all",
+    cap=None, search_scope="all", chars=None,
 ) -> Scan:
-    """Scores every project of a file table.
+    """Scores every project of a file table, in one pass over the text.
 
-    Languages are detected per project unless given. Filters and, where given, ``max_size`` (bytes)
-    and ``cap`` (files per language) act on the file statistics;
-    the search reads all files of the project's languages, or only the kept ones with
-    ``search_scope='kept'``.
+    Languages are detected per project unless given. Filters and, where given, ``max_size`` (bytes) and ``cap`` (files
+    per language) act on the file statistics; the search reads all files of the project's languages, or only the kept
+    ones with ``search_scope='kept'``. Files count for the languages of their suffix, so a file may count twice or not
+    at all. Directories and packages that show a user interface are looked for in the whole tree. ``chars`` limits the
+    characters that languages are detected from.
     """
-    typed = L.file_language(files)
-    kept = max_file_size(exclude_paths(include_paths(typed, include), exclude), max_size)
-    if languages is None:
-        detected = L.detect_languages(L.language_statistics(max_file_size(prune_dirs(typed), max_size)))
-        used = detected.select("project_id", "language")
-        of_used = lambda df: df.join(used, ["project_id", "language"], "left_semi")
-    else:
-        of_used = lambda df: df.where(F.col("language").isin(languages))
-    facts = L.first_files(T.file_facts(of_used(kept), "content", G.lines_of_code("content")), cap)
-    packages = T.ui_packages(files)
-    facts = facts.join(packages, "project_id", "left").withColumn(
-        "has_ui", F.col("has_ui") | F.coalesce("by_package", F.lit(False))
-    )
-    searched = files if search_scope == "all" else kept
-    lines = explode_lines(of_used(search_languages(searched.drop("language"), languages)))
-    return _scan(facts, lines, rules, compat, None)
+    ready = E.with_entries(files, None, exclude, include, max_size, languages, search_scope, chars)
+    results = E.language_results(E.project_entries(E.searched_entries(ready, rules, None, cap)), None, languages)
+    scores = score_projects(results, compat=compat)
+    return Scan(results, scores.select(*SCORE_COLUMNS), summarize(scores))
