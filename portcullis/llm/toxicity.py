@@ -13,7 +13,7 @@ from portcullis.llm.common import ascii_lower
 
 #: Hash cells of the terms; a power of two.
 CELLS = 1 << 18
-#: The model is fitted on at most so many labelled rows, those with the smallest hashes of their ids.
+#: The model is fitted on at most so many labelled documents, those with the smallest hashes of their ids.
 TRAIN_ROWS = 20_000
 FACTORS = 4
 
@@ -49,22 +49,15 @@ def term_cells(text: Column) -> Column:
     return F.array_distinct(hashed)
 
 
-def fit(rows: DataFrame, label: str, cells: str, seed: int = 7, epochs: int = 8, batch: int = 128, max_rows: int = TRAIN_ROWS, order: str | None = None) -> Machine:
-    """Fits the machine on at most max_rows labelled rows, by Adagrad on mini-batches.
+def fit(labels: np.ndarray, cells_of: list[np.ndarray], seed: int = 7, epochs: int = 8, batch: int = 128) -> Machine:
+    """Fits the machine on labels (0 or 1) and the cells of their rows, by Adagrad on mini-batches.
 
-    Rows with a null label are left out. order: a column whose hash picks the rows where there are more. The rows come
-    to the driver as lists of cells: their number is bounded, and texts stay on the executors. Without any rows the
-    machine scores 0; with labels of one kind it scores that kind.
+    Without any rows the machine scores 0; with labels of one kind it scores that kind.
     """
-    rows = rows.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("label"), F.col(cells).alias("cells"), F.xxhash64(order or label).alias("order"))
-    found = rows.orderBy("order", F.hash("cells")).limit(max_rows).toPandas()
-    # Whatever the partitions, the same rows come in the same order.
-    found = found.assign(size=found.cells.map(len)).sort_values(["order", "label", "size"], kind="stable")
     rng = np.random.default_rng(seed)
     model = Machine(-20.0, np.zeros(CELLS), rng.normal(0, 0.01, (CELLS, FACTORS)))
-    if not len(found):
+    if not len(labels):
         return model
-    labels, cells_of = found.label.to_numpy(float), [np.asarray(c, dtype=np.int64) for c in found.cells]
     rate = labels.mean()
     model.bias = float(np.log((rate + 1e-4) / (1 - rate + 1e-4)))
     # Words of few rows say little about others; without them and with sparse weights rare words are not learned by heart.
@@ -114,8 +107,31 @@ def score(df: DataFrame, text: str, model: Machine) -> DataFrame:
     return df.withColumn("score", scored(term_cells(F.col(text)))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def train_on_labels(docs: DataFrame, labels: DataFrame, held_out: Column) -> Machine:
-    """Fits a machine on documents (doc_id, text) that have a toxic label and are not held out."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    rows = docs.where(~held_out).select("doc_id", term_cells(F.col("text")).alias("cells")).join(known, "doc_id")
-    return fit(rows, "toxic", "cells", order="doc_id")
+def labelled_rows(docs: DataFrame, labels: DataFrame, held_out: Column, max_rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, order, label and cells of about max_rows labelled documents (or all, if fewer) that are not held out.
+
+    Ids are chosen first, by a hash of the id alone, so that only they are broadcast and only the terms of their
+    documents are made; no step sorts texts or terms. An id counts once: of contradictory labels the smaller one holds,
+    of several texts that of the smallest hash. Rows with a null id or a null label are left out.
+    """
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("label"))
+    # A third more, since some are held out or have no document; what is too much is cut where the rows arrive.
+    share = min(1.0, 4 / 3 * max_rows / max(1, known.count()))
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    chosen = known.where(order < int(share * (1 << 40))).groupBy("doc_id").agg(F.min("label").alias("label"))
+    texts = docs.where(~held_out & (order < int(share * (1 << 40)))).select("doc_id", "text")
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.struct(F.xxhash64("text").alias("hash"), term_cells(F.col("text")).alias("cells")).alias("found"))
+    return rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("found").alias("found")).select("doc_id", order.alias("order"), "label", "found.cells")
+
+
+def train_on_labels(docs: DataFrame, labels: DataFrame, held_out: Column, max_rows: int = TRAIN_ROWS) -> Machine:
+    """Fits a machine on labelled documents (doc_id, text) that are not held out, at most max_rows of them.
+
+    The rows come to the driver as lists of cells in Arrow form: their number is bounded, and texts stay on the
+    executors. Whatever the partitions, the same rows come in the same order.
+    """
+    found = labelled_rows(docs, labels, held_out, max_rows).toArrow().combine_chunks()
+    picked = found.sort_by([("order", "ascending"), ("doc_id", "ascending")]).slice(0, max_rows).combine_chunks()
+    cells = picked.column("cells").combine_chunks() if picked.num_rows else None
+    cells_of = [] if cells is None else np.split(cells.flatten().to_numpy().astype(np.int64), np.cumsum(cells.value_lengths().to_numpy())[:-1])
+    return fit(picked.column("label").to_numpy().astype(float), cells_of)
