@@ -7,7 +7,7 @@ Every statement starts again from the given tables. Shared steps are written onc
 import re
 
 from checks.corpora import ANSWER_SQL, TREE_SQL
-from portcullis.dims import advice, gates as D, hits as H, languages as LG, technologies as TD
+from portcullis.dims import advice, detail_text as DT, gates as D, hits as H, languages as LG, technologies as TD
 from portcullis.dims.pattern_text import PACKS
 from portcullis.dims.secret_words import BASIC, CALLS, WORDS
 
@@ -433,14 +433,6 @@ def joined(e):
 oracle("s2_files_from_table", f"SELECT project_id, path, file_name, ext, {big('size')} AS size, {KNOWN} AS language FROM texts")
 oracle("s3_explode_lines", f"""
 SELECT project_id, path, CAST(i AS BIGINT) AS line_no, ls[i] AS line FROM (SELECT project_id, path, string_split(content, {LF}) AS ls FROM texts), unnest(range(1, len(ls) + 1)) u(i)""")
-oracle("s4_json_reports", f"""
-SELECT o.project_id AS project_name, language, '2024-01-01T00:00:00' AS scan_date, {r6('overall_score')} AS overall_score, total_files, total_lines, total_gates, partial_gates,
-  total_gates AS gate_count, 'structured_logs' AS first_name, {r6('first_score')} AS first_score, {joined('critical_issues')} AS critical_issues, {joined('recommendations')} AS recommendations
-FROM overall o JOIN findings USING (project_id)
-JOIN (SELECT project_id, count(*) AS total_gates, count(*) FILTER (WHERE (found > 0 AND gate <> 'avoid_logging_secrets' AND status = 'PASS') OR (status = 'WARNING' AND NOT (found > 0 AND gate = 'avoid_logging_secrets'))) AS partial_gates,
-        max(final_score) FILTER (WHERE gate = 'structured_logs') AS first_score FROM report_gates GROUP BY 1) USING (project_id)
-JOIN (SELECT project_id, count(*) AS total_files, {big('sum(loc)')} AS total_lines,
-        arg_min(language, {LANG_ORD}) AS language FROM file_loc GROUP BY 1) USING (project_id)""")
 T["export_names"] = "SELECT * FROM (VALUES " + rows(D.EXPORT_NAMES.items()) + ") v(gate, export_name)"
 oracle("s5_sarif_results", f"""
 SELECT project_id, concat(export_name, '_', category) AS rule_id, lower(severity) AS level, suggested_fix AS message, path AS uri, line_no AS start_line, {big('column_start')} AS start_column,
@@ -852,10 +844,119 @@ SELECT gate, coalesce(display_name, {title('gate')}) AS display_name, {title('ga
 oracle("r15_component_declarations", """
 SELECT s_name AS component_name, CASE WHEN s_acctbal > 5000 THEN 'High' ELSE 'Medium' END AS business_criticality, CASE WHEN s_nationkey > 12 THEN 'cloud' ELSE 'Unknown' END AS current_environment, 'Unknown' AS application_type,
   d AS declaration, CASE d WHEN 'database' THEN s_acctbal > 0 ELSE s_nationkey > 5 END AS is_yes FROM supplier, unnest(['database', 'cache']) u(d)""")
+# ---------------------------------------------------------------- details of gates
+
+
+def filled(text, *values):
+    """A text with %d and %s in it as a concatenation."""
+    parts = re.split("%[ds]", text)
+    args = [lit(parts[0])]
+    for value, part in zip(values, parts[1:], strict=True):
+        args += [value, lit(part)]
+    return f"concat({', '.join(args)})"
+
+
+def some(items):
+    return f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
+
+
+def titled(title, shown):
+    """The title with what there is to show; null without anything."""
+    return f"CASE WHEN len({shown}) > 0 THEN concat({lit(title)}, array_to_string({shown}, ', ')) END"
+
+
+def _own_texts(gate):
+    spec, items = DT.DETAILS[gate], []
+    if "head" in spec:
+        items.append(filled(spec["head"], "count(*)"))
+    if "files" in spec:
+        items.append(filled(spec["files"], "count(DISTINCT path)"))
+    at = 0
+    for size, title in spec.get("kinds", []):
+        shown = []
+        for label, words in D.HIT_KINDS[gate][at : at + size]:
+            tests = [f"contains({'matched_text' if w in D.RAW_WORDS else 'low'}, {lit(w)})" for w in words]
+            shown.append(f"CASE WHEN bool_or({' OR '.join(tests)}) THEN {lit(label)} END")
+        items.append(titled(f"{title}: ", some(shown)))
+        at += size
+    if gate == "log_api_calls":
+        for word, text in (("request", DT.REQUESTS), ("response", DT.RESPONSES)):
+            n = f"count(*) FILTER (WHERE contains(low, '{word}'))"
+            items.append(f"CASE WHEN {n} > 0 THEN {filled(text, n)} END")
+    if gate == "http_codes":
+        items.append(titled(DT.CODES_USED, r"list_sort(list_distinct(flatten(list(regexp_extract_all(matched_text, '\b[2-5]\d{2}\b')))))"))
+    if gate == "ui_error_tools":
+        first = "CASE " + " ".join(f"WHEN contains(low, '{t.lower()}') THEN '{t}'" for t in D.ERROR_TOOLS) + " END"
+        items.append(titled(DT.TOOLS_FOUND, some(f"CASE WHEN bool_or({first} = '{t}') THEN '{t}' END" for t in D.ERROR_TOOLS)))
+    return some(items)
+
+
+T["d_own"] = " UNION ALL ".join(
+    f"SELECT project_id, '{g}' AS gate, language, count(*) AS n, {_own_texts(g)} AS texts FROM low_hits WHERE gate = '{g}' GROUP BY project_id, language" for g in D.GATES
+)
+T["d_longest"] = f"""
+SELECT project_id, language, list({filled(DT.DETAILS['structured_logs']['longest'], 'path', 'length(matched_text)')} ORDER BY r) AS texts FROM
+ (SELECT *, row_number() OVER (PARTITION BY project_id, language ORDER BY length(matched_text) DESC, path, line_no, ord) AS r FROM hits WHERE gate = 'structured_logs' QUALIFY r <= 3) GROUP BY 1, 2"""
+_band = "CASE " + " ".join(f"WHEN c >= {n} THEN {lit(t)}" for n, t in DT.VIOLATION_BANDS) + f" ELSE {lit(DT.VIOLATION_BAND_ELSE)} END"
+_kind_ord = "CASE violation_kind " + " ".join(f"WHEN {lit(k)} THEN {i}" for i, (k, _) in enumerate(D.VIOLATION_KINDS)) + " ELSE 99 END"
+_example_ord = "CASE violation_kind " + " ".join(f"WHEN {lit(k)} THEN {i}" for i, k in enumerate(D.EXAMPLE_KINDS)) + " END"
+T["d_violations"] = f"""
+SELECT project_id, language, list(concat('  ', {_band}, ' ', violation_kind, ': ', c, ' violations') ORDER BY c DESC, {_kind_ord}) AS texts
+FROM (SELECT project_id, language, violation_kind, count(*) AS c FROM leaks GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+T["d_examples"] = f"""
+SELECT project_id, language, list(concat('   ', list_last(string_split(path, '/')), ':', line_no, ' - ', substr(matched_text, 1, 60), '...') ORDER BY r) AS texts FROM
+ (SELECT *, row_number() OVER (PARTITION BY project_id, language ORDER BY {_example_ord}, kr) AS r FROM
+   (SELECT *, row_number() OVER (PARTITION BY project_id, language, violation_kind ORDER BY path, line_no, ord) AS kr FROM leaks WHERE violation_kind IN ({', '.join(map(lit, D.EXAMPLE_KINDS))})) WHERE kr <= 2 QUALIFY r <= 5) GROUP BY 1, 2"""
+_ordered = {}
+for _l, _c, _t, _ in TD.technology_rules():
+    _ordered.setdefault((_l, _c, _t), len(_ordered))
+T["d_tech_order"] = "SELECT * FROM (VALUES " + rows((*k, i, k[1].title()) for k, i in _ordered.items()) + ") v(language, category, technology, o, title)"
+T["d_techs"] = """
+SELECT project_id, language, category, any_value(title) AS title, min(o) AS o, list(technology ORDER BY o) AS names FROM code_techs JOIN d_tech_order USING (language, category, technology) GROUP BY 1, 2, 3"""
+T["d_tech_texts"] = """
+SELECT project_id, language, list(concat('  ', category, ': ', len(names), ' files') ORDER BY o) AS counted, list(concat('  ', title, ': ', array_to_string(names, ', ')) ORDER BY o) AS named FROM d_techs GROUP BY 1, 2"""
+_none = "CASE e.gate " + " ".join(f"WHEN '{g}' THEN {lit(DT.DETAILS[g]['none'])}" for g in D.GATES) + " END"
+_tech = " ".join(f"WHEN '{g}' THEN CASE WHEN t.named IS NULL THEN [] ELSE list_concat([{lit(s['tech'])}], t.named) END" for g, s in DT.DETAILS.items() if "tech" in s and "longest" not in s)
+_structured = f"list_concat(l.texts, list_concat([{lit(DT.DETAILS['structured_logs']['tech'])}], coalesce(t.counted, [])))"
+_secret = f"""list_concat(list_concat([{lit(DT.BY_CATEGORY)}], v.texts), list_concat(list_concat([{lit(DT.EXAMPLES)}], coalesce(x.texts, [])),
+    CASE WHEN o.n > 5 THEN [{filled(DT.MORE_VIOLATIONS, 'o.n - 5')}, {lit(DT.WARNING)}] ELSE [{lit(DT.WARNING)}] END))"""
+T["d_language"] = f"""
+SELECT e.project_id, e.gate, e.language, CASE WHEN o.n IS NULL THEN [{_none}] ELSE list_concat(o.texts, CASE e.gate WHEN 'structured_logs' THEN {_structured}
+    WHEN 'avoid_logging_secrets' THEN {_secret} {_tech} ELSE [] END) END AS texts
+FROM lang_results e LEFT JOIN d_own o USING (project_id, gate, language) LEFT JOIN d_longest l ON l.project_id = e.project_id AND l.language = e.language
+LEFT JOIN d_violations v ON v.project_id = e.project_id AND v.language = e.language LEFT JOIN d_examples x ON x.project_id = e.project_id AND x.language = e.language
+LEFT JOIN d_tech_texts t ON t.project_id = e.project_id AND t.language = e.language"""
+_short = "CASE WHEN length(trim(matched_text)) > 80 THEN concat(substr(trim(matched_text), 1, 77), '...') ELSE trim(matched_text) END"
+T["d_shown"] = f"""
+SELECT project_id, gate, path, min(hit_no) AS first, list_concat(list_concat([{filled(DT.MATCHES_OF_FILE, 'path')}],
+    flatten(list([{filled(DT.MATCH, 'line_no', _short)}, {filled(DT.PATTERN, 'pattern')}] ORDER BY hit_no)[1:3])), CASE WHEN count(*) > 3 THEN [{filled(DT.MORE_MATCHES, 'count(*) - 3')}] ELSE [] END) AS texts
+FROM first_ten GROUP BY project_id, gate, path"""
+T["d_first"] = f"""
+SELECT project_id, gate, list_concat([{filled(DT.MATCHES, 'any_value(n)')}], flatten(list(texts ORDER BY first))) AS texts
+FROM d_shown JOIN (SELECT project_id, gate, count(*) AS n FROM hits GROUP BY 1, 2) USING (project_id, gate) GROUP BY 1, 2"""
+T["d_advice"] = """
+SELECT project_id, gate, list(advice ORDER BY o, position) AS advice FROM (SELECT project_id, gate, advice, language_ord AS o, position FROM advised JOIN language_dim USING (language) WHERE advice IS NOT NULL
+ QUALIFY row_number() OVER (PARTITION BY project_id, gate, advice ORDER BY language_ord, position) = 1) GROUP BY 1, 2"""
+T["gate_details"] = f"""
+SELECT f.project_id, f.gate, CASE WHEN applicable THEN list_concat(d.texts, coalesce(s.texts, [])) ELSE [{filled(DT.NOT_APPLICABLE, 'f.gate')}] END AS details,
+  CASE WHEN applicable THEN coalesce(a.advice, []) ELSE [{filled(DT.NO_ACTION, 'f.gate')}] END AS recommendations
+FROM final f JOIN (SELECT project_id, gate, flatten(list(texts ORDER BY language_ord)) AS texts FROM d_language JOIN language_dim USING (language) GROUP BY 1, 2) d USING (project_id, gate)
+LEFT JOIN d_first s USING (project_id, gate) LEFT JOIN d_advice a USING (project_id, gate)"""
+oracle("a3_gate_details", f"SELECT project_id, gate, {joined('details')} AS details, {joined('recommendations')} AS recommendations FROM gate_details")
+
+oracle("s4_json_reports", f"""
+SELECT o.project_id AS project_name, language, '2024-01-01T00:00:00' AS scan_date, {r6('overall_score')} AS overall_score, total_files, total_lines, total_gates, partial_gates,
+  total_gates AS gate_count, 'structured_logs' AS first_name, {r6('first_score')} AS first_score, array_to_string(details, ' | ') AS first_details, {joined('critical_issues')} AS critical_issues, {joined('recommendations')} AS recommendations
+FROM overall o JOIN findings USING (project_id)
+JOIN (SELECT project_id, count(*) AS total_gates, count(*) FILTER (WHERE (found > 0 AND gate <> 'avoid_logging_secrets' AND status = 'PASS') OR (status = 'WARNING' AND NOT (found > 0 AND gate = 'avoid_logging_secrets'))) AS partial_gates,
+        max(final_score) FILTER (WHERE gate = 'structured_logs') AS first_score FROM report_gates GROUP BY 1) USING (project_id)
+JOIN (SELECT project_id, details FROM gate_details WHERE gate = 'structured_logs') USING (project_id)
+JOIN (SELECT project_id, count(*) AS total_files, {big('sum(loc)')} AS total_lines,
+        arg_min(language, {LANG_ORD}) AS language FROM file_loc GROUP BY 1) USING (project_id)""")
 oracle("r16_api_gates", f"""
 SELECT project_id, gate, CASE WHEN status = 'NOT_APPLICABLE' THEN status WHEN final_score >= 80 THEN 'PASS' WHEN final_score >= 60 THEN 'WARNING' ELSE 'FAIL' END AS status,
-  {joined("CASE WHEN len(kinds) > 0 THEN kinds[1:5] ELSE [concat('Expected: ', expected, ', Found: ', found), concat('Coverage: ', format('{:.1f}', coverage), '%')] END")} AS details
-FROM final LEFT JOIN kinds USING (project_id, gate)""")
+  {joined("details[1:5]")} AS details
+FROM final JOIN gate_details USING (project_id, gate)""")
 
 # ---------------------------------------------------------------- scoring model
 

@@ -12,7 +12,7 @@ from portcullis.dims.languages import LANGUAGE_ORD
 from portcullis.dims.rules import default_rules
 from portcullis.functions.text import lookup
 from portcullis.operators import (
-    filters as P, gates as G, joins as J, languages as L, matching as M, reports as R, samples as X, scoring as A,
+    details as DE, filters as P, gates as G, joins as J, languages as L, matching as M, reports as R, samples as X, scoring as A,
     technology as TE,
 )
 from portcullis.plans import scan as SC
@@ -87,6 +87,12 @@ def combined(spark, sf):
     return A.combine_languages(results(spark, sf)).select(*COMBINED)
 
 
+def detailed(spark, sf):
+    """Scores with their details and recommendations."""
+    technologies = lambda: TE.detect_technologies(lines(spark, sf), "line")
+    return _once(spark, sf, "detailed", lambda: DE.gate_details(scores(spark, sf), results(spark, sf), hits(spark, sf), technologies()))
+
+
 COMBINED = ["project_id", "gate", "expected", "found", "quality_score"]
 KEY = ["project_id", "path", "line_no", "rule_id"]
 
@@ -123,13 +129,13 @@ def s3_explode_lines(spark, sf):
 @query
 def s4_json_reports(spark, sf):
     sc = scan(spark, sf)
-    gates = R.report_gates(sc.scores)
+    gates = R.report_gates(detailed(spark, sf))
     reports = RF.json_reports(sc.summary, gates, R.report_summary(gates), A.project_findings(sc.scores), "2024-01-01 00:00:00")
     one = reports.withColumn("first_gate", F.element_at("gates", 1)).withColumn("gate_count", F.size("gates"))
     return one.select(
         "project_name", "language", "scan_date", "overall_score", "total_files", "total_lines", "gate_summary.total_gates",
         "gate_summary.partial_gates", "gate_count", F.col("first_gate.name").alias("first_name"),
-        F.col("first_gate.score").alias("first_score"), "critical_issues", "recommendations",
+        F.col("first_gate.score").alias("first_score"), F.array_join("first_gate.details", " | ").alias("first_details"), "critical_issues", "recommendations",
     )
 
 
@@ -604,6 +610,11 @@ def a3_combine_languages_compat(spark, sf):
     return A.combine_languages(results(spark, sf), compat=True).select(*COMBINED)
 
 
+@query
+def a3_gate_details(spark, sf):
+    return detailed(spark, sf).select("project_id", "gate", "details", "recommendations")
+
+
 @query
 def a4_coverage(spark, sf):
     return combined(spark, sf).select("project_id", "gate", A.coverage().alias("coverage"))
@@ -863,9 +874,7 @@ def r15_component_declarations(spark, sf):
 
 @query
 def r16_api_gates(spark, sf):
-    kinds = G.gate_kinds(hits(spark, sf)).withColumnRenamed("kinds", "details")
-    listed = scores(spark, sf).join(kinds, ["project_id", "gate"], "left")
-    return R.api_gates(listed).select("project_id", "gate", "status", "details")
+    return R.api_gates(detailed(spark, sf)).select("project_id", "gate", "status", "details")
 
 
 # ---------------------------------------------------------------- scoring model

@@ -188,8 +188,9 @@ def gate_result(lines: DataFrame, hits: DataFrame, gate, analyses=None) -> DataF
 # ---------------------------------------------------------------- facts about hits
 
 
-def _kind(low):
-    out = None
+def violation_kind(matched="matched_text"):
+    """The first kind of confidential data that fits a hit."""
+    low, out = F.lower(matched), None
     for name, words in D.VIOLATION_KINDS:
         test = has_any(low, words)
         out = F.when(test, name) if out is None else out.when(test, name)
@@ -199,7 +200,7 @@ def _kind(low):
 def with_violation_kind(hits: DataFrame) -> DataFrame:
     """Hits of the secrets gate with the first kind of confidential data that fits."""
     secrets = hits.where(F.col("gate") == D.SECRETS_GATE)
-    return secrets.withColumn("violation_kind", _kind(F.lower("matched_text")))
+    return secrets.withColumn("violation_kind", violation_kind())
 
 
 def violation_breakdown(hits: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ REPORT_SCHEMA = (
     "project_name string, language string, scan_date string, overall_score double, total_files bigint, "
     "total_lines bigint, gate_summary struct<total_gates:bigint,implemented_gates:bigint,partial_gates:bigint,"
     "not_implemented_gates:bigint,not_applicable_gates:bigint>, gates array<struct<name:string,status:string,"
-    "score:double,expected:bigint,found:bigint,coverage:double,quality_score:double>>, "
+    "score:double,details:array<string>,expected:bigint,found:bigint,coverage:double,quality_score:double>>, "
     "critical_issues array<string>, recommendations array<string>"
 )
 
@@ -18,8 +18,11 @@ REPORT_SCHEMA = (
 def json_reports(summary: DataFrame, gates: DataFrame, report_summary: DataFrame, findings: DataFrame, scan_ts) -> DataFrame:
     """One report object per project. Its gate list has at most 15 entries.
 
-    ``scan_ts`` is an argument so that a report depends on its inputs only.
+    ``scan_ts`` is an argument so that a report depends on its inputs only. Gates without a column ``details`` have an
+    empty list.
     """
+    if "details" not in gates.columns:
+        gates = gates.withColumn("details", F.array().cast("array<string>"))
     rows = gates.groupBy("project_id").agg(
         F.transform(
             F.sort_array(
@@ -27,7 +30,7 @@ def json_reports(summary: DataFrame, gates: DataFrame, report_summary: DataFrame
                     F.struct(
                         F.col("gate_ord"),
                         F.struct(
-                            F.col("gate").alias("name"), F.col("status"), F.col("final_score").alias("score"), F.col("expected"),
+                            F.col("gate").alias("name"), F.col("status"), F.col("final_score").alias("score"), F.col("details"), F.col("expected"),
                             F.col("found"), F.col("coverage"), F.col("quality_score"),
                         ).alias("g"),
                     )
