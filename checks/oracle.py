@@ -584,6 +584,15 @@ oracle("m11_function_context", f"SELECT project_id, path, line_no, {FUNCTION} FR
 oracle("m12_context_lines", f"""
 SELECT project_id, path, line_no, array_to_string(list(line) OVER w, ' | ') AS context_lines, min(line_no) OVER w AS context_start_line, max(line_no) OVER w AS context_end_line
 FROM c1 WINDOW w AS (PARTITION BY project_id, path ORDER BY line_no ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""")
+T["all_context"] = """
+SELECT project_id, path, line_no, array_to_string(list(line) OVER w, ' | ') AS context_lines, min(line_no) OVER w AS context_start_line, max(line_no) OVER w AS context_end_line
+FROM c1 WINDOW w AS (PARTITION BY project_id, path ORDER BY line_no ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"""
+oracle("m12_hit_context", "SELECT * FROM all_context SEMI JOIN hits USING (project_id, path, line_no)")
+T["any_function"] = """
+SELECT c.project_id, c.path, c.line_no, h.name, h.line_no AS header_no, h.full_line AS signature
+FROM (SELECT DISTINCT project_id, path, line_no FROM hits) c LEFT JOIN headers h ON c.project_id = h.project_id AND c.path = h.path AND h.line_no <= c.line_no
+QUALIFY row_number() OVER (PARTITION BY c.project_id, c.path, c.line_no ORDER BY h.line_no DESC NULLS LAST) = 1"""
+oracle("m11_function_anywhere", f"SELECT project_id, path, line_no, {FUNCTION} FROM any_function")
 oracle("m13_priority", f"SELECT {KEY}, function_name, priority FROM named")
 oracle("m14_match_summary", """
 SELECT count(*) AS hits, count(*) FILTER (WHERE priority >= 7) AS high_priority, count(*) FILTER (WHERE severity = 'HIGH') AS security_issues,

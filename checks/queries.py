@@ -350,6 +350,20 @@ def m11_function_context(spark, sf):
     return M.with_function(src.select("project_id", "path", "line_no"), src)
 
 
+@query
+def m12_hit_context(spark, sf):
+    """The lines around every hit: only these are gathered."""
+    found = M.context_of(hits(spark, sf).select("project_id", "path", "line_no").distinct(), lines(spark, sf))
+    return found.select("project_id", "path", "line_no", "context_lines", "context_start_line", "context_end_line")
+
+
+@query
+def m11_function_anywhere(spark, sf):
+    """The nearest header of every hit, however far back."""
+    asked = hits(spark, sf).select("project_id", "path", "line_no").distinct()
+    return M.with_function(asked, lines(spark, sf), None)
+
+
 @query
 def m12_context_lines(spark, sf):
     return M.with_context_lines(lines(spark, sf)).select(

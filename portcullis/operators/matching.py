@@ -19,6 +19,7 @@ from ..dims.languages import CONTEXT_LINES, HEADER_LOOK_BACK, HEADER_PATTERNS
 from ..dims.rules import check_rules, default_rules, literal_runs
 from ..functions.patterns import IGNORE_CASE, java
 from ..functions.ranking import with_halo
+from ..functions.sifting import sifted
 from ..functions.tables import computed_once, fixed_table
 from ..functions.text import count_of, folded, folded_sql, has_any, lookup, sql_text, strip, strip_left
 
@@ -26,6 +27,8 @@ LINE_KEYS = ["project_id", "path", "line_no"]
 HIT_TYPE = "array<struct<rule_no:int,matched_text:string>>"
 CALL_TYPE = "array<struct<call_no:int,whole:string,inside:string>>"
 BLOCK = 4096
+#: Blocks that a carried header is looked for in at once.
+SPAN = 64
 
 
 def order_rules(rules):
@@ -250,10 +253,11 @@ def header_lines(lines: DataFrame) -> DataFrame:
     return named.where(F.col("function_name").isNotNull())
 
 
-def with_function(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """Adds the nearest header at most 48 lines back (or on the line itself) to every row.
+def with_function(rows: DataFrame, lines: DataFrame, look_back=HEADER_LOOK_BACK) -> DataFrame:
+    """Adds the nearest header at most ``look_back`` lines back (or on the line itself) to every row.
 
-    Only the rows asked about and the header lines are shuffled, by (project, file, block of lines).
+    With ``look_back=None`` the header may be any number of lines back. Only the rows asked about and the header lines
+    are shuffled, by (project, file, block of lines); without a limit, the last header of each block is carried on.
     """
     keep = rows.columns
     headers = header_lines(lines).select(
@@ -262,13 +266,16 @@ def with_function(rows: DataFrame, lines: DataFrame) -> DataFrame:
             F.col("function_name"), F.col("line_no").alias("function_line"), strip("line").alias("function_signature")
         ).alias("_header"),
     )
-    headers = with_halo(headers, ["project_id", "path"], "line_no", HEADER_LOOK_BACK, 0, BLOCK)
     asked = rows.withColumn("_block", F.floor(F.col("line_no") / BLOCK)).withColumn("_asked", F.lit(True))
-    both = asked.unionByName(headers.drop("_own"), allowMissingColumns=True)
-    w = (
-        Window.partitionBy("project_id", "path", "_block").orderBy("line_no").rangeBetween(-HEADER_LOOK_BACK, 0)
-    )
-    found = both.withColumn("_near", F.last("_header", ignorenulls=True).over(w)).where(F.col("_asked"))
+    by_block = Window.partitionBy("project_id", "path", "_block").orderBy("line_no")
+    if look_back is None:
+        headers = headers.withColumn("_block", F.floor(F.col("line_no") / BLOCK))
+        both = asked.unionByName(headers, allowMissingColumns=True).withColumn("_near", F.last("_header", ignorenulls=True).over(by_block.rangeBetween(Window.unboundedPreceding, 0)))
+        found = _with_carried_headers(both, headers).where(F.col("_asked"))
+    else:
+        headers = with_halo(headers, ["project_id", "path"], "line_no", look_back, 0, BLOCK)
+        both = asked.unionByName(headers.drop("_own"), allowMissingColumns=True)
+        found = both.withColumn("_near", F.last("_header", ignorenulls=True).over(by_block.rangeBetween(-look_back, 0))).where(F.col("_asked"))
     return found.select(
         *keep,
         F.coalesce(F.col("_near.function_name"), F.lit("unknown")).alias("function_name"),
@@ -281,8 +288,51 @@ def with_function(rows: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
+def _with_carried_headers(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """Fills ``_near`` of rows in whose block no header comes before them with the last header of an earlier block.
+
+    A header is carried through the blocks up to the next one that has headers of its own, as a range of blocks. Ranges
+    are cut at multiples of a span of blocks, so that rows meet them by an equal key.
+    """
+    keys = ["project_id", "path"]
+    last = headers.groupBy(*keys, "_block").agg(F.max_by("_header", "line_no").alias("_carried"))
+    last_rows = rows.groupBy(*keys).agg(F.max("_block").alias("_end"))
+    following = F.lead("_block").over(Window.partitionBy(*keys).orderBy("_block"))
+    ranges = last.withColumn("_next", following).join(last_rows, keys)
+    ranges = ranges.withColumn("_until", F.least(F.coalesce("_next", "_end"), "_end")).where(F.col("_block") < F.col("_until"))
+    spans = F.sequence(F.floor((F.col("_block") + 1) / SPAN), F.floor(F.col("_until") / SPAN))
+    placed = ranges.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.explode(spans).alias("_of_span"), F.col("_block").alias("_from"), "_until", "_carried")
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    meets = [*same, F.floor(F.col("_block") / SPAN) == F.col("_of_span"), F.col("_block") > F.col("_from"), F.col("_block") <= F.col("_until")]
+    return rows.join(placed, meets, "left").withColumn("_near", F.coalesce("_near", "_carried"))
+
+
+def context_of(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Adds to rows (with LINE_KEYS) the three lines before and after their line, and their first and last number.
+
+    The numbers that rows ask for, a few around each, pick the lines: a filter of fixed size drops other lines where they
+    are read, so that what is shuffled grows with the rows and not with the table. Rows may repeat; those without a
+    line nearby have an empty list.
+    """
+    asked = rows.select(*LINE_KEYS).distinct()
+    around = F.explode(F.sequence(F.col("line_no") - CONTEXT_LINES, F.col("line_no") + CONTEXT_LINES))
+    wanted = asked.select("project_id", "path", F.col("line_no").alias("asked_no"), around.alias("line_no"))
+    met = wanted.join(sifted(lines.select(*LINE_KEYS, "line"), wanted, LINE_KEYS), LINE_KEYS)
+    near = F.sort_array(F.collect_list(F.struct(F.col("line_no").alias("n"), "line")))
+    found = met.groupBy("project_id", "path", "asked_no").agg(near.alias("_lines"))
+    found = found.select(
+        "project_id", "path", F.col("asked_no").alias("line_no"), F.transform("_lines", lambda x: x["line"]).alias("context_lines"),
+        F.col("_lines")[0]["n"].alias("context_start_line"), F.element_at("_lines", -1)["n"].alias("context_end_line"),
+    )
+    none = F.array().cast("array<string>")
+    return rows.join(found, LINE_KEYS, "left").withColumn("context_lines", F.coalesce("context_lines", none))
+
+
 def with_context_lines(lines: DataFrame) -> DataFrame:
-    """Adds the three lines before and after each line, and their first and last number."""
+    """Adds the three lines before and after each line, and their first and last number, to all lines of a table.
+
+    For the lines of some rows alone, ``context_of`` shuffles less.
+    """
     haloed = with_halo(lines, ["project_id", "path"], "line_no", CONTEXT_LINES, CONTEXT_LINES, BLOCK)
     w = (
         Window.partitionBy("project_id", "path", "_block")
@@ -309,10 +359,12 @@ def describe(matches: DataFrame) -> DataFrame:
 
 
 def full_matches(lines: DataFrame, rules=None, context=True) -> DataFrame:
-    """The complete hit records: description, function, priority and, if asked, surrounding lines."""
-    source = with_context_lines(lines) if context else lines
-    found = with_function(describe(match_lines(source, rules)), lines)
-    return found.withColumn("priority", priority())
+    """The complete hit records: description, function, priority and, if asked, surrounding lines.
+
+    Only the lines around hits are gathered; lines that have them already (``explode_lines(around=...)``) keep theirs.
+    """
+    found = with_function(describe(match_lines(lines, rules)), lines).withColumn("priority", priority())
+    return context_of(found, lines) if context and "context_lines" not in lines.columns else found
 
 
 def match_summary(matches: DataFrame, keys=()) -> DataFrame:

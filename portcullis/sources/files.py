@@ -80,12 +80,20 @@ def files_from_table(table: DataFrame, project, path, text, modified=None) -> Da
     return with_file_columns(files).withColumn("language", known_language())
 
 
-def explode_lines(files: DataFrame, keep=("project_id", "path", "language")) -> DataFrame:
-    """One row per line, numbered from 1. A carriage return stays; an empty file has one empty line."""
-    lines = F.posexplode(F.split(F.col("content"), "\n", -1)).alias("_pos", "line")
-    return files.select(*keep, lines).select(
-        *keep, (F.col("_pos") + 1).cast("bigint").alias("line_no"), "line"
-    )
+def explode_lines(files: DataFrame, keep=("project_id", "path", "language"), around=None) -> DataFrame:
+    """One row per line, numbered from 1. A carriage return stays; an empty file has one empty line.
+
+    With ``around``, each line has so many lines before and after it, cut out of the file's text, and the numbers of the
+    first and last of them.
+    """
+    split = F.split(F.col("content"), "\n", -1)
+    number = (F.col("_pos") + 1).cast("bigint").alias("line_no")
+    if around is None:
+        return files.select(*keep, F.posexplode(split).alias("_pos", "line")).select(*keep, number, "line")
+    rows = files.select(*keep, split.alias("_lines")).select(*keep, "_lines", F.posexplode("_lines").alias("_pos", "line"))
+    first, last = F.greatest(F.col("_pos") + 1 - around, F.lit(1)), F.least(F.col("_pos") + 1 + around, F.size("_lines"))
+    context = [F.slice("_lines", first, last - first + 1).alias("context_lines"), first.cast("bigint").alias("context_start_line"), last.cast("bigint").alias("context_end_line")]
+    return rows.select(*keep, number, "line", *context)
 
 
 def lines_from_table(table: DataFrame, project, path, line_no, text, language) -> DataFrame:
