@@ -1019,8 +1019,8 @@ SELECT event_id, CASE event_type WHEN 'view' THEN floor(value * 100) WHEN 'click
   CASE event_type WHEN 'view' THEN 'use view | log more' WHEN 'click' THEN 'first of click | second' ELSE '' END AS r FROM events"""
 oracle("x9_apply_enhancement", f"""
 SELECT f.project_id, f.gate, {r6('CASE WHEN e.q IS NULL THEN f.quality_score ELSE greatest(0.0, least(e.q, 100.0)) END')} AS quality_score, {r6('f.final_score')} AS final_score,
-  CASE WHEN coalesce(e.r, '') <> '' THEN e.r ELSE 'keep' END AS recommendations, coalesce(e.s, '') AS insights
-FROM final f LEFT JOIN (SELECT concat('proj', event_id % 8) AS project_id, gate, max(q) AS q, arg_max(r, event_id) AS r, concat('answers: ', count(*)) AS s FROM answer_values JOIN gate_dim ON gate_ord = event_id % 15 GROUP BY 1, 2) e
+  CASE WHEN coalesce(e.r, '') <> '' THEN e.r ELSE {joined('g.recommendations')} END AS recommendations, coalesce(e.s, '') AS insights
+FROM final f JOIN gate_details g USING (project_id, gate) LEFT JOIN (SELECT concat('proj', event_id % 8) AS project_id, gate, max(q) AS q, arg_max(r, event_id) AS r, concat('answers: ', count(*)) AS s FROM answer_values JOIN gate_dim ON gate_ord = event_id % 15 GROUP BY 1, 2) e
   ON e.project_id = f.project_id AND e.gate = f.gate""")
 oracle("x10_score_with", f"SELECT project_id, gate, {r6('avg(length(sample) % 101)')} AS quality_score FROM samples WHERE sample <> '' GROUP BY 1, 2")
 

@@ -965,8 +965,7 @@ def x9_apply_enhancement(spark, sf):
         F.max_by("recommendations", "event_id").alias("recommendations"),
         F.array(F.concat(F.lit("answers: "), F.count(F.lit(1)).cast("string"))).alias("security_issues"),
     )
-    base = scores(spark, sf).withColumn("recommendations", F.array(F.lit("keep")))
-    return X.apply_enhancement(base, enhanced).select("project_id", "gate", "quality_score", "final_score", "recommendations", "insights")
+    return X.apply_enhancement(detailed(spark, sf), enhanced).select("project_id", "gate", "quality_score", "final_score", "recommendations", "insights")
 
 
 def _length_model(prompts):
