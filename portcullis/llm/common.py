@@ -22,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where none is named (tests), a folder of this process."""
+    """The folder that driver and executors share; without a cluster (tests), a folder of this process if none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="llm-"))
     return _own_dir[0]
