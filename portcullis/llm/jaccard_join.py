@@ -42,9 +42,14 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(total.view(np.int64))
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: shingles take several times the memory of their texts."""
+    return (batch.slice(begin, rows) for batch in batches for begin in range(0, len(batch), rows))
+
+
 def _class_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The size of each text's set and a key of its elements, null for the empty set."""
-    for batch in batches:
+    for batch in _few(batches):
         found = [shingles(t) for t in batch.column(1).to_pylist()]
         keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in found]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array([len(x) for x in found], pa.int64())], ["doc_id", "set_key", "n"])
@@ -52,7 +57,7 @@ def _class_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same with each set's first prefix."""
-    for batch in batches:
+    for batch in _few(batches):
         found = [shingles(t) for t in batch.column(1).to_pylist()]
         keys, sizes = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in found], [len(x) for x in found]
         prefixes = [x[: len(x) - int(LEFT_OUT * len(x))] for x in found]
@@ -65,7 +70,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _few(batches):
         found = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "own"])
 
@@ -130,7 +135,7 @@ def _need_checks(group: pd.DataFrame) -> pd.DataFrame:
     """For each block's two tiles: the members with a pair that only an exact comparison can decide, and is due here.
 
     A pair is due in the block of the smallest token that both keep; it is out if its sizes differ too much, if the
-    documents are joined already, or if they share no prefix token under one of the other orders.
+    documents are joined already, or if their first prefixes share too few tokens for the larger one.
     """
     out = []
     for _, g in group.groupby(["block", "tile"], sort=False):
@@ -140,9 +145,9 @@ def _need_checks(group: pd.DataFrame) -> pd.DataFrame:
         n = g.n.to_numpy()
         need &= (100 * np.minimum(n[:, None], n[None, :])) >= PERCENT * np.maximum(n[:, None], n[None, :])
         every = np.arange(len(g))
-        for column in ("earlier", "other0", "other1"):
-            shared = _common([np.asarray(x, np.int64) for x in g[column]], every, every) > 0
-            need &= ~shared if column == "earlier" else shared
+        need &= _common([np.asarray(x, np.int64) for x in g.earlier], every, every) == 0
+        least = g.least.to_numpy()
+        need &= _common([np.asarray(x, np.int64) for x in g.shared], every, every) >= np.maximum(least[:, None], least[None, :])
         mine = need.any(axis=1)
         if mine.any():
             out.append(g.loc[mine, ["block", "tile", "doc_id", "comp"]])
@@ -212,7 +217,13 @@ def _links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame] | No
     first = F.size("t") - F.col("least").cast("int") + 1
     by_hash = lambda seed: F.transform(F.slice(F.array_sort(F.transform("t", lambda x: F.struct(F.xxhash64(x["token"], F.lit(seed)).alias("h"), x["token"].alias("token")))), 1, first), lambda x: x["token"])
     kept = F.transform(F.slice(F.array_sort("t"), 1, first), lambda x: x["token"])
-    docs_kept = saved(ranked.select("doc_id", "n", F.array_sort(kept).alias("kept"), by_hash(ORDERS[0]).alias("other0"), by_hash(ORDERS[1]).alias("other1")), "kept")
+    # Where only the number of equal tokens counts, short hashes will do: equal ones by chance only let a pair pass to its
+    # exact comparison.
+    short = lambda c: F.array_distinct(F.transform(c, lambda t: F.hash(t)))
+    prefix = short(F.transform("t", lambda x: x["token"])).alias("shared")
+    # Tokens that fall together may make the list shorter by a few, so that many fewer are asked for.
+    fewer = (F.col("least") - (F.size("t") - F.size(prefix))).alias("least")
+    docs_kept = saved(ranked.select("doc_id", "n", fewer, F.array_sort(kept).alias("kept"), short(by_hash(ORDERS[0])).alias("other0"), short(by_hash(ORDERS[1])).alias("other1"), prefix), "kept")
     # Tokens that the same documents keep make one block.
     tokens = docs_kept.select(F.explode("kept").alias("token"), "doc_id")
     member = F.xxhash64("doc_id")
@@ -223,13 +234,16 @@ def _links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame] | No
     placed = saved(tokens.join(blocks, tokens["token"] == blocks["block"]).select("block", "members", "leader", "doc_id"), "placed")
     # First each block's members are compared with its first document.
     stars = placed.where("leader <> doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    side = lambda name: docs_kept.select(F.col("doc_id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", "other0", "other1")))
+    side = lambda name: docs_kept.select(F.col("doc_id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", "least", "other0", "other1", "shared")))
     alike = stars.join(side("a"), "a").join(side("b"), "b").where(
         (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & F.arrays_overlap("other0_a", "other0_b") & F.arrays_overlap("other1_a", "other1_b")
+        & (F.size(F.array_intersect("shared_a", "shared_b")) >= F.greatest("least_a", "least_b"))
     )
     pairs = saved(alike.select("a", "b"), "pairs")
     whom = saved(docs_kept.select("doc_id"), "whom")
-    sets = saved(docs.join(small(whom), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "doc_id long, own binary"), "sets")
+    # Whole sets are made of the documents alone that have a pair to compare.
+    sets_of = lambda ids, name: saved(docs.join(small(saved(ids, "ids")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "doc_id long, own binary"), name)
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "sets")
     own = lambda name: sets.select(F.col("doc_id").alias(name), F.col("own").alias(f"own_{name}"))
     star_links = saved(pairs.join(own("b"), "b").join(own("a"), "a").select("a", "b", "own_a", "own_b").mapInArrow(_linked, "a long, b long"), "stars")
     joined = saved(components(whom, star_links), "joined")
@@ -243,16 +257,14 @@ def _links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame] | No
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn(
         "tile", (F.least("mine", "other") * F.col("tiles") + F.greatest("mine", "other")).cast("long")
     )
-    # Short hashes will do for the other orders: equal ones by chance only let a pair pass to its exact comparison.
-    short = lambda c: F.transform(c, lambda t: F.hash(t)).alias(c)
-    packed = docs_kept.select("doc_id", "n", "kept", short("other0"), short("other1"))
+    packed = docs_kept.select("doc_id", "n", "least", "kept", "shared")
     earlier = F.filter("kept", lambda t: t < F.col("block")).alias("earlier")
-    rows = tiled.select("block", "tile", "doc_id", "comp").join(packed, "doc_id").select("block", "tile", "doc_id", "comp", "n", earlier, "other0", "other1")
-    bins = max(1, tiled.count() // 20_000)
+    rows = tiled.select("block", "tile", "doc_id", "comp").join(packed, "doc_id").select("block", "tile", "doc_id", "comp", "n", "least", earlier, "shared")
+    bins = max(1, tiled.count() // 10_000)
     grouped = lambda df, count: df.withColumn("bin", F.pmod(F.xxhash64("block", "tile"), F.lit(count)))
     due = saved(grouped(rows, bins).groupBy("bin").applyInPandas(_need_checks, "block long, tile long, doc_id long, comp long"), "due")
     bins = max(1, due.count() // 2_000)
-    more = grouped(due.join(sets, "doc_id"), bins).groupBy("bin").applyInPandas(_check_tile, "a long, b long")
+    more = grouped(due.join(sets_of(due.select("doc_id").distinct(), "due-sets"), "doc_id"), bins).groupBy("bin").applyInPandas(_check_tile, "a long, b long")
     return whom, saved(star_links.unionAll(more), "all-links")
 
 
