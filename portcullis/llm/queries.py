@@ -95,9 +95,22 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and their likeness.
 
     The edited text ends with the beginning of the next document in descending order of doc_id. Texts are shuffled by
-    id once for the document itself and once more as far as the next one lends them.
+    id once for the document itself and once more as far as the next one lends them. Every row has a result of its own:
+    where ids repeat, their rows stand one after the other in any order; rows without an id come last.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
+    if twice.isEmpty():
+        return _compared_with_edited(docs)
+    # A number for each row that has the order of the ids; written, it holds whenever it is read.
+    dealt = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    placed = saved(dealt.select(F.col("doc_id").alias("own_id"), F.monotonically_increasing_id().alias("doc_id"), "text"), "placed")
+    found = _compared_with_edited(placed.select("doc_id", "text"))
+    return found.join(placed.select("doc_id", "own_id"), "doc_id").select(F.col("own_id").alias("doc_id"), *found.columns[1:])
+
+
+def _compared_with_edited(docs: DataFrame) -> DataFrame:
+    """The columns of op10_imatch for documents with distinct non-null ids and non-null texts."""
     lists = saved(fingerprints.lexicon(docs, "text"), "lexicon")
     own = saved(fingerprints.with_fingerprints(docs, "text", lists).select("doc_id", F.length("text").cast("long").alias("n_chars"), "fingerprint"), "fingerprints")
     order = fingerprints.successors(own)
