@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the pattern by which this kind of tokenizer splits texts before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: A worker remembers so many encoded words and tested pairs at most, then begins anew.
+#: A worker remembers so many encoded words, and as many tested pairs, at most, then begins anew.
 CACHE = 400_000
 
 
@@ -82,7 +82,7 @@ class Vocabulary:
             else:
                 # The pair at the border stands left of this merge and would win against it at the same rank.
                 limit, b = made_b + 1, self.parts[b][0]
-        if len(self.pairs) > 4 * CACHE:
+        if len(self.pairs) > CACHE:
             self.pairs.clear()
         self.pairs[left, right] = fits
         return fits

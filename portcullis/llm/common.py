@@ -41,6 +41,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Spark hand at most so many rows at once to Python in this session: whole texts take much memory there."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a saved table of narrow rows for broadcast if it has at most so many rows; else Spark shuffles."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import saved, small
+from portcullis.llm.common import saved, small, small_batches
 
 #: Words of a shingle, and the least similarity in per cent.
 SHINGLE, PERCENT = 5, 75
@@ -123,9 +123,9 @@ def _common(lists: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> n
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     _, at = np.unique(flat, return_inverse=True)
-    for begin in range(0, int(at.max(initial=-1)) + 1, 8192):
-        low, high = np.searchsorted(at, [begin, begin + 8192])
-        part = np.zeros((len(lists), 8192), np.float32)
+    for begin in range(0, int(at.max(initial=-1)) + 1, 2048):
+        low, high = np.searchsorted(at, [begin, begin + 2048])
+        part = np.zeros((len(lists), 2048), np.float32)
         part[owner[low:high], at[low:high] - begin] = 1
         total += part[rows] @ part[columns].T
     return total
@@ -289,6 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Candidates share prefix tokens under several global token orders: first by hash, which needs no counting, then by
     document frequency among what is left, then by two more hashes. All pairs that pass are decided by their whole sets.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if not rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         return _of_repeated(rows)
