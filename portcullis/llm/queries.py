@@ -94,9 +94,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and their likeness.
 
-    The edited text ends with the beginning of the next document in descending order of doc_id. Texts are shuffled by
-    id once for the document itself and once more as far as the next one lends them. Every row has a result of its own:
-    where ids repeat, their rows stand one after the other in any order; rows without an id come last.
+    The edited text ends with the beginning of the next document in descending order of doc_id. Texts are shuffled once,
+    by runs of ids. Every row has a result of its own: where ids repeat, their rows stand one after the other in any
+    order; rows without an id come last.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
@@ -112,20 +112,15 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _compared_with_edited(docs: DataFrame) -> DataFrame:
     """The columns of op10_imatch for documents with distinct non-null ids and non-null texts."""
     lists = saved(fingerprints.lexicon(docs, "text"), "lexicon")
-    own = saved(fingerprints.with_fingerprints(docs, "text", lists).select("doc_id", F.length("text").cast("long").alias("n_chars"), "fingerprint"), "fingerprints")
-    order = fingerprints.successors(own)
-    following = own.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint"))
-    ring = saved(own.join(order, "doc_id").join(following, "next_id"), "ring")
-    lent = docs.join(ring.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to"), F.floor(F.col("n_chars") / 2).cast("int").alias("half")), "doc_id")
-    lent = lent.select(F.col("to").alias("doc_id"), F.expr("left(text, half)").alias("tail"))
-    whole = docs.join(lent, "doc_id").select("doc_id", F.expr("concat(left(text, cast(length(text) - floor(length(text) / 2) as int)), tail)").alias("edited"))
-    edited = fingerprints.with_fingerprints(whole, "edited", lists, "edited_fingerprint").withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
-    return ring.join(edited, "doc_id").select(
+    both = fingerprints.with_next(fingerprints.with_fingerprints(docs, "text", lists), "doc_id", ["text", "fingerprint"])
+    sized = both.withColumn("n_chars", F.length("text").cast("long")).withColumn("half", F.expr("cast(n_chars div 2 as int)"))
+    whole = sized.withColumn("edited", F.expr("concat(left(text, cast(n_chars as int) - half), left(next_text, half))"))
+    found = fingerprints.with_fingerprints(whole, "edited", lists, "edited_fingerprint")
+    return found.select(
         "doc_id",
         "n_chars",
-        "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        *(fingerprints.as_text(F.col(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")),
         fingerprints.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         fingerprints.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
