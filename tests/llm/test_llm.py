@@ -100,13 +100,56 @@ def test_spans_equal_plain_patterns(spark):
     assert pii.with_spans(docs.limit(0), "text", pii.learn(docs.limit(0), "text")).count() == 0
 
 
+def constant_model():
+    """A classifier that gives every candidate the same probability."""
+    kinds = len(pii.ALL_KINDS)
+    return pii.Model([0.5] * kinds, [[[[1 / 3] * 3] * 2] * pii.LABELERS] * kinds, [0.0] * (pii.FEATURE_CELLS * kinds))
+
+
 def test_overlapping_spans_are_masked_to_their_ends(spark):
     texts = ["10.0.0.0 4111 1111 1111 1111", "4111 1111 1111 1111.jo@x.com", "a 10.0.0.0 4111 1111 1111 1111.jo@x.com b c@d.e", "a@b.c 10.0.0.1"]
-    found = pii.with_spans(frame(spark, texts), "text", pii.Model(0.5, [[[1 / 3] * 3] * 2] * pii.LABELERS, [0.0] * pii.FEATURE_CELLS))
+    found = pii.with_spans(frame(spark, texts), "text", constant_model())
     got = [r[0] for r in found.orderBy("doc_id").select(pii.masked(F.col("text"), F.col("spans"))).collect()]
     assert got == ["[IP]", "[CARD]", "a [IP] b [EMAIL]", "[EMAIL] [IP]"]
 
 
+def plain_mask(text, spans):
+    out, at = "", 0
+    for start, kind, end in spans:
+        if start >= at:
+            out += text[at:start] + f"[{kind.upper()}]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_masking_equals_plain_masking(spark):
+    """Texts of many spans and of several pieces, with signs of two code units."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice([*BITS, "word " * 40, "😀" * 30]) for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    texts += ["é😀 a@b.co " * 16_000, "x" * 4096 + "a@b.co" + "y" * 4090, "a@b.co", "😀" * 9000 + " 10.0.0.1"]
+    found = pii.with_spans(frame(spark, texts), "text", pii.learn(frame(spark, texts), "text")).withColumn("masked", pii.masked(F.col("text"), F.col("spans")))
+    for row in found.collect():
+        assert row.masked == plain_mask(row.text, [(s.start, s.kind, s.end) for s in row.spans])
+
+
+def test_secrets_are_found_by_the_classifier(spark):
+    """Values that a name of secrets goes before are spans; check sums, long names and paths alike are not."""
+    rng = random.Random(3)
+    value = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "a1"
+    texts = []
+    for k in range(240):
+        yes = rng.choice(['token = "{}"', "api_key: {}", 'TOKEN = "{}"!!', "password={}", "secret: '{}'"])
+        no = rng.choice(["commit {} by", "see /files/{}", "sha1sum {}", "release-notes-{}-final"])
+        texts.append(f"words é {k} " + (yes if k % 2 else no).format(value(40)) + f" then jo.{k}@mail.example.com or 10.1.{k}.7 and 300.1.2.{k}")
+    docs = frame(spark, texts)
+    model = pii.learn(docs, "text")
+    secrets = lambda m: {r.doc_id: [r.text[s.start : s.end] for s in r.spans if s.kind == "secret"] for r in pii.with_spans(docs, "text", m).collect()}
+    got = secrets(model)
+    assert [k for k in got if got[k]] == [k for k in got if re.search(r"(?i)token =|api_key:|password=|secret:", texts[k])]
+    assert all(len(v[0]) == 40 for v in got.values() if v)
+    assert not any(secrets(constant_model()).values())
+
+
 def test_running_sums(spark):
     sizes = list(range(300))
     got = spark.createDataFrame([(sizes,), ([],)], "a array<int>").select(pii.running_sums(F.col("a")).alias("s")).collect()
