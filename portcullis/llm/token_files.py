@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,8 @@ BLOCK_SCHEMA = "part int, block int, first_id long, doc_ids array<long>, doc_siz
 
 # Whole pre-tokens end between two such characters, so pieces are encoded alike alone and within their text.
 _PIECES = re.compile(r"(?<=\S) (?=\S)")
+# A space next to other white space, where that does not hold for all spaces.
+_RUNS = re.compile(r" \s|[^\S ] ")
 _CACHE_PIECES = 1_000_000
 _state: dict = {}
 
@@ -94,6 +99,13 @@ def unpack(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
     return ids
 
 
+def cut_text(text: str) -> list[str]:
+    """The pieces of a text between single spaces that stand between other characters; most texts have no other spaces."""
+    if text[:1] == " " or text[-1:] == " " or _RUNS.search(text):
+        return _PIECES.split(text)
+    return text.split(" ")
+
+
 def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
     """Ids of whole texts (null: empty) by the tokenizers library, special tokens as it finds them in the text.
 
@@ -101,6 +113,8 @@ def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
     worker remembers a bounded number of pieces.
     """
     if _state.get("path") != path:
+        # A task has one core; the library's threads would only wait for each other there.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -110,17 +124,16 @@ def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
     if len(_state["cache"]) > _CACHE_PIECES:
         _state["cache"] = {}
     cache = _state["cache"]
-    # The first piece of a text has no space before it.
-    pieces = []
-    for text in texts:
-        cut = _PIECES.split(text or "")
-        pieces.append([cut[0], *(" " + p for p in cut[1:])])
-    missing = list({p for cut in pieces for p in cut if p not in cache})
+    encode = lambda part: [array("I", x.ids).tobytes() for x in _state["tokenizer"].encode_batch_fast(part, add_special_tokens=False)]
+    # The first piece of a text has no space before it; the others are remembered without theirs.
+    cuts = [cut_text(text or "") for text in texts]
+    firsts = encode([cut[0] for cut in cuts])
+    rests = [cut[1:] for cut in cuts]
+    missing = list(set(chain.from_iterable(rests)).difference(cache))
     for begin in range(0, len(missing), 50_000):
         part = missing[begin : begin + 50_000]
-        for piece, found in zip(part, _state["tokenizer"].encode_batch_fast(part, add_special_tokens=False), strict=True):
-            cache[piece] = np.array(found.ids, np.uint32).tobytes()
-    return [np.frombuffer(b"".join([cache[p] for p in cut]), np.uint32) for cut in pieces]
+        cache.update(zip(part, encode([" " + piece for piece in part]), strict=True))
+    return [np.frombuffer(first + b"".join(map(cache.__getitem__, rest)), np.uint32) for first, rest in zip(firsts, rests, strict=True)]
 
 
 def blocks_of(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id: int, partitions: int | None = None) -> DataFrame:

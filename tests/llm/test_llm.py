@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 
@@ -313,6 +314,21 @@ def test_files_read_back(spark, tmp_path):
         start += len(ids)
 
 
+def test_cut_texts_without_threads(monkeypatch):
+    """Texts are cut as by the pattern, and the library starts no threads of its own in a task."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    texts = ODD + ["".join(rng.choice("ab  \n\t\x1c\x85　") for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    assert all(token_files.cut_text(t) == token_files._PIECES.split(t) for t in texts if t is not None)
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    monkeypatch.setattr(token_files, "_state", {})
+    book = Tokenizer.from_file(tokenizer_path())
+    for got, text in zip(token_files.encode_texts(texts, tokenizer_path()), texts, strict=True):
+        assert got.tolist() == book.encode(text or "", add_special_tokens=False).ids
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
 # BPE
 
 
