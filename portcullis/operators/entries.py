@@ -77,7 +77,7 @@ def _file_marks() -> Column:
         | (guarded("content", "_low", TD.HTML_PATTERNS) & (tags >= TD.HTML_TAGS_NEEDED))
         | (guarded("content", "_low", TD.SCRIPT_PATTERNS) & has_any(low, TD.BROWSER_WORDS) & ~has_any(low, TD.SERVER_WORDS))
     )
-    return reduce(lambda a, b: a | b, [F.lower("path").endswith(s) for s in TD.UI_SUFFIXES]) | by_text
+    return reduce(lambda a, b: a | b, [F.col("_low_path").endswith(s) for s in TD.UI_SUFFIXES]) | by_text
 
 
 def with_entries(files: DataFrame, gates=None, exclude=(), include=(), max_size=None, languages=None, search_scope="all", chars=None) -> DataFrame:
@@ -93,11 +93,11 @@ def with_entries(files: DataFrame, gates=None, exclude=(), include=(), max_size=
     named = typed.withColumn("_detecting", ~below_dirs() & small).withColumn("_counted", F.when(kept, wanted(counted_languages())).otherwise(F.array().cast("array<string>")))
     counts = F.size("_counted") > 0
     tests = G.name_tests(gates)
-    marked = named.withColumn("_low", F.when(counts, folded("content")))
+    marked = named.withColumn("_low", F.when(counts, folded("content"))).withColumn("_low_path", F.lower("path"))
     flags = {"ui": _file_marks(), "jobs": guarded("content", "_low", TD.BACKGROUND_PATTERNS), **tests}
     statistics = F.struct(G.lines_of_code("content").alias("loc"), *[test.cast("bigint").alias(m) for m, test in flags.items()])
     # Costly parts are columns of their own, so that each is computed once.
-    measured = computed_once(marked, "_statistics", F.when(counts, statistics)).drop("_low")
+    measured = computed_once(marked, "_statistics", F.when(counts, statistics)).drop("_low", "_low_path")
     signed = computed_once(measured, "_signs", F.when(F.col("_detecting"), L.content_hits(chars=chars)))
     entries = F.concat(
         F.array_compact(
@@ -140,7 +140,7 @@ def searched_entries(files: DataFrame, rules=None, gates=None, cap=None) -> Data
         F.when(hit, F.element_at(gate_of, F.col("rule_no") + 1)).alias("gate"),
         "entry.signs",
         "entry.m",
-        "matched_text",
+        F.lower("matched_text").alias("_low_text"),
     )
     bonuses = G.bonus_tests(gates)
     per_file = keyed.groupBy("project_id", "path", "kind", "language", "gate").agg(

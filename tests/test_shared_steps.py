@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from portcullis.dims.rules import default_rules
-from portcullis.functions.patterns import best_piece
+from portcullis.functions.patterns import best_piece, quick_part
+from portcullis.functions.tables import shared
 from portcullis.operators import details as DE, gates as G, matching as M, technology as TE
 from portcullis.plans import scan as SC
 
@@ -108,3 +109,28 @@ def test_every_guard_is_reached():
     texts = {"logger.", "logger.info", "log", "retry", "@retry", "max_retries", "x", "xx", "xxx", "\u017f"}
     found = behind(texts)
     assert set(found) == texts and all(p in t for t, pieces in found.items() for p in pieces)
+
+
+def test_known_hits_are_not_searched_again(spark, lines, plain_plans):
+    hits = shared(M.search_lines(lines), *M.LINE_KEYS)
+    scores = SC.scan_lines(lines, hits=M.with_gates(hits)).scores
+    listed = M.with_rules(hits).join(scores.select("project_id", "gate", "status"), ["project_id", "gate"])
+    counted = listed.groupBy("project_id", "status").agg(F.count(F.lit(1)).alias("n"))
+    assert searches(counted) == 1
+    assert sorted(scores.collect(), key=str) == sorted(SC.scan_lines(lines).scores.collect(), key=str)
+
+
+def test_guards_begin_with_a_rare_letter():
+    for rule in default_rules():
+        for text in rule.anchors:
+            assert text.endswith(quick_part(text)) and quick_part(text)
+    assert quick_part("request_id").startswith("q") and quick_part("") == ""
+
+
+def test_headers_are_looked_for_in_a_frame_that_only_grows(spark, lines, plain_plans):
+    found = M.with_function(asked(lines), lines)
+    assert "specifiedwindowframe(RangeFrame, unboundedpreceding$(), currentrow$())" in found._jdf.queryExecution().executedPlan().toString()
+    rows = [("p", "a.py", "python", n, "def f(x):" if n in (2, 4) else "    print(x)") for n in range(1, 60) if n != 3]
+    far = spark.createDataFrame(rows, lines.schema)
+    got = {r.line_no: (r.function_line, r.distance_from_function) for r in M.with_function(far.select(*M.LINE_KEYS), far).collect()}
+    assert got[1] == (0, 0) and got[2] == (2, 0) and got[4] == (4, 0) and got[52] == (4, 48) and got[53] == (0, 0)
